@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixlake.llm import encoding, exact_dedup, licenses, near_dedup, packing, passages, quality, token_counts
+from prefixlake.llm import encoding, exact_dedup, html_text, licenses, near_dedup, packing, passages, quality, token_counts, transcripts
 from prefixlake.llm.shared import table
 
 
@@ -14,10 +14,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return transcripts.parse(transcripts.transcripts_of(turns), transcripts.fit(turns))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "spans", F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).alias("n_words"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encoding.decode(encoding.encode(table(spark, sf_dir, "documents")))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -47,7 +56,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_chat_format": op2_chat_format,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_html_text": op4_html_text,
     "op5_bpe": op5_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
