@@ -599,3 +599,66 @@ def _(spark, d):
 def _(spark, d):
     rows = metrics.type_counts(_messages(spark, d)).select(F.lit("bmp_messages").alias("name"), F.lit("counter").alias("kind"), F.lit("total").alias("unit"), F.concat_ws("_", F.col("router_id").cast("string"), "msg_type").alias("component"), F.col("n").alias("value"))
     return metrics.prometheus(rows)
+
+
+def _bmp(spark, d) -> DataFrame:
+    """Made BMP messages: an initiation for each router, then its peers' messages by the log."""
+    from prefixlake.streaming import bmp_sessions
+
+    rows = _messages(spark, d).filter(~F.col("msg_type").isin("initiation", "termination"))
+    made = rows.select("seq", "router_id", "msg_type", F.col("ingress_id").cast("string").alias("peer"), F.lit(0).cast("smallint").alias("flags"), (F.col("ingress_id") % 2 == 0).alias("gr_capable"), F.lit(True).alias("readable"), F.lit(None).cast("string").alias("eor"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("sys_name"))
+    starts = rows.select("router_id").distinct().select(F.lit(-1).cast("bigint").alias("seq"), "router_id", F.lit("initiation").alias("msg_type"), *(F.lit(None).cast(t).alias(c) for c, t in made.dtypes[3:9]), F.lit("r").alias("sys_name"))
+    return bmp_sessions.replay(made.unionByName(starts))
+
+
+@query("Z01_bmp_sessions", f"""SELECT seq, router_id, CASE WHEN msg_type = 'peer_up' THEN CASE WHEN before = 'peer_up' THEN 'invalid' WHEN before = 'peer_down' AND ever > 0 THEN 'routing' ELSE 'other' END
+    WHEN msg_type = 'peer_down' THEN CASE WHEN before = 'peer_up' THEN 'routing' ELSE 'invalid' END
+    WHEN msg_type = 'route_monitoring' THEN CASE WHEN before = 'peer_up' THEN 'routing' ELSE 'invalid' END ELSE 'other' END AS result
+    FROM (SELECT *, last_value(CASE WHEN msg_type IN ('peer_up', 'peer_down') THEN msg_type END IGNORE NULLS) OVER w AS before, count(*) FILTER (msg_type = 'peer_up') OVER w AS ever FROM ({MESSAGES}) WHERE msg_type NOT IN ('initiation', 'termination')
+    WINDOW w AS (PARTITION BY router_id, ingress_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+def _(spark, d):
+    return _bmp(spark, d).filter("seq >= 0").select("seq", "router_id", "result")
+
+
+@query("A13_bmp_states")
+def _(spark, d):
+    from prefixlake.streaming import bmp_sessions
+
+    return bmp_sessions.counts(_bmp(spark, d))
+
+
+@query("K01_json_lines")
+def _(spark, d):
+    from prefixlake.sources import sinks
+
+    return sinks.lines(live_of(spark, d).select("bits", "ingress_id", "origin_asn", "otc"))
+
+
+@query("K02_json_min", "SELECT concat('{\"bits\":\"', bits, '\",\"ingress_id\":', CAST(ingress_id AS VARCHAR), CASE WHEN otc IS NOT NULL THEN concat(',\"otc\":', CAST(otc AS VARCHAR)) ELSE '' END, '}') AS value FROM live")
+def _(spark, d):
+    from prefixlake.sources import sinks
+
+    return sinks.lines(live_of(spark, d).select("bits", "ingress_id", "otc"), "json-min")
+
+
+@query("K03_csv", "SELECT concat(bits, ',', CAST(ingress_id AS VARCHAR), ',', next_hop) AS value FROM live")
+def _(spark, d):
+    from prefixlake.sources import sinks
+
+    return sinks.lines(live_of(spark, d).select("bits", "ingress_id", "next_hop"), "csv")
+
+
+@query("K06_messages", "SELECT seq, 'prefixlake/asn' AS topic FROM updates WHERE origin_asn = 64512")
+def _(spark, d):
+    from prefixlake.sources import sinks
+
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    made = events.emitted(rows, "asn", p.match_origin(F.col("origin_asn"), 64512), events.asn_record(F.col("origin_asn"), F.col("bits")))
+    return sinks.messages(made, view(spark, d, "ingress")).select("seq", "topic")
+
+
+@query("K14_cli", "SELECT ingress_id FROM ingress")
+def _(spark, d):
+    from prefixlake.sources import sinks
+
+    return sinks.cli_lines(view(spark, d, "ingress")).select(F.trim(F.split("value", "\t")[0]).cast("bigint").alias("ingress_id"))
