@@ -13,9 +13,15 @@ from prefixlake.llm.bpe import checked_path, vocabulary
 from prefixlake.llm.spans import Texts, ragged, slices
 
 #: Code points whose distinct words are kept together.
-BLOCK = 1 << 25
-#: Bytes of ids in a batch of results.
-BATCH_BYTES = 8 << 20
+BLOCK = 1 << 24
+#: A word's position in all blocks: block * MOST_WORDS + place in the block.
+MOST_WORDS = 1 << 22
+#: Words that a task groups by block before it sends their ids back.
+GROUPED = 1 << 20
+#: Pre-tokens in a batch of results.
+BATCH_WORDS = 1 << 19
+#: Starts the name of an added token among the words; no pre-token has both this and a letter.
+ADDED = "\x00id"
 
 
 class _Block:
@@ -25,7 +31,6 @@ class _Block:
         self.keys = np.zeros(0, np.uint64)
         self.numbers = np.zeros(0, np.int64)
         self.words: list[str] = []
-        self.added: list[int] = []
         self.which: list[np.ndarray] = []
         self.ids: list[int | None] = []
         self.counts: list[int] = []
@@ -38,8 +43,8 @@ class _Block:
         near = where < len(self.keys)
         new[near] = self.keys[where[near]] != keys[near]
         fresh = np.arange(len(self.words), len(self.words) + int(new.sum()))
-        self.words += [t.text[a:b] for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
-        self.added += special[new].tolist()
+        rows = zip(first[new].tolist(), last[new].tolist(), special[new].tolist(), strict=True)
+        self.words += [t.text[a:b] if i < 0 else f"{ADDED}{i}" for a, b, i in rows]
         self.keys = np.insert(self.keys, where[new], keys[new])
         self.numbers = np.insert(self.numbers, where[new], fresh)
         self.which.append(self.numbers[np.searchsorted(self.keys, keys)][which].astype(np.uint32))
@@ -48,33 +53,37 @@ class _Block:
         self.size += len(t.cps)
 
     def row(self, number: int) -> pa.RecordBatch:
-        """Words in order of the alphabet, and numbers by frequency in planes of bytes: both pack well."""
+        """Words by rough frequency and then in order of the alphabet, and numbers in planes of bytes: both pack well."""
         which = np.concatenate(self.which)
-        order = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        by_use = np.argsort(-np.bincount(which, minlength=len(order)), kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[by_use] = np.arange(len(order))
-        planes = rank[which].view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() if len(order) < 1 << 24 else None
-        if planes is None:
+        rough = np.log2(np.bincount(which, minlength=len(self.words))).astype(int).tolist()
+        order = sorted(range(len(self.words)), key=lambda i: (-rough[i], self.words[i]))
+        if len(order) >= MOST_WORDS:
             raise ValueError("too many distinct words in a block")
-        packer = zstandard.ZstdCompressor(3)
-        return pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([number], pa.int64()),
-                "ids": pa.array([self.ids], pa.list_(pa.int64())),
-                "counts": pa.array([self.counts], pa.list_(pa.int64())),
-                "words": pa.array([[self.words[i] for i in order.tolist()]], pa.list_(pa.string())),
-                "added": pa.array([[self.added[i] for i in order.tolist()]], pa.list_(pa.int32())),
-                "by_use": pa.array([place[by_use].tolist()], pa.list_(pa.int32())),
-                "which": pa.array([packer.compress(planes)], pa.binary()),
-                "n_which": pa.array([len(which)], pa.int64()),
-            }
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.array([self.ids], pa.list_(pa.int64())),
+                pa.array([self.counts], pa.list_(pa.int64())),
+                pa.array([[self.words[i] for i in order]], pa.list_(pa.string())),
+                pa.array([_pack(rank[which])], pa.binary()),
+            ],
+            ["block", "ids", "counts", "words", "which"],
         )
 
 
-_BLOCK_SCHEMA = "block long, ids array<long>, counts array<long>, words array<string>, added array<int>, by_use array<int>, which binary, n_which long"
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte planes apart, compressed."""
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+_BLOCK_SCHEMA = "block long, ids array<long>, counts array<long>, words array<string>, which binary"
 
 
 def split_words(docs: DataFrame, path: str) -> DataFrame:
@@ -83,7 +92,7 @@ def split_words(docs: DataFrame, path: str) -> DataFrame:
 
     def split(batches):
         vocab = vocabulary(path)
-        number, block = TaskContext.get().partitionId() << 32, _Block()
+        number, block = TaskContext.get().partitionId() << 12, _Block()
         for rows, texts in slices(batches):
             block.add(rows.column("doc_id").to_pylist(), Texts(texts), vocab)
             if block.size >= BLOCK:
@@ -98,65 +107,83 @@ def split_words(docs: DataFrame, path: str) -> DataFrame:
     return spark.table(name)
 
 
-def encode(docs: DataFrame, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, n_tokens, ids) of every row: ids as the tokenizers library gives them without special tokens around, packed as unsigned little-endian 32-bit.
 
     Null texts are empty (no ids); whole texts of any length; rows that repeat an id each get a row; other columns are not
     read. Each distinct word is merged once: words of all blocks meet by word, a word at most once from each block, so
-    that no word is hot; its ids go back to their block by position.
+    that no word is hot; its ids go back to their block by position. With `decoded` each row also has what `decode` adds,
+    made in the same tasks.
     """
     path = checked_path(vocabulary_path)
     blocks = split_words(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path)
-    found = blocks.select("block", F.posexplode(F.arrays_zip("words", "added")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.added").alias("added"))
-    table = found.repartition("word", "added").sortWithinPartitions("word", "added")
+    found = blocks.select("block", F.posexplode("words").alias("place", "word")).select((F.col("block") * MOST_WORDS + F.col("place")).alias("at"), "word")
 
     def merge(batches):
-        merge_word, last, packed = vocabulary(path).merge, None, b""
+        merge_word, last, ids = vocabulary(path).merge, None, []
+        places, sizes, flat = [], [], []
         for b in batches:
-            out = []
-            for key in zip(b.column("word").to_pylist(), b.column("added").to_pylist(), strict=True):
-                if key != last:
-                    last = key
-                    packed = np.array(merge_word(key[0]) if key[1] < 0 else [key[1]], "<u4").tobytes()
-                out.append(packed)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("place"), pa.array(out, pa.binary())], ["block", "place", "ids"])
-
-    merged = table.mapInArrow(merge, "block long, place int, ids binary")
-    by_block = merged.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("merged"))
-    whole = blocks.select("block", F.col("ids").alias("doc_ids"), "counts", "by_use", "which", "n_which").hint("merge").join(by_block.hint("merge"), "block", "left")
+            places.append(b.column("at").to_numpy())
+            for word in b.column("word").to_pylist():
+                if word != last:
+                    last = word
+                    ids = [int(word[len(ADDED) :])] if word.startswith(ADDED) else merge_word(word)
+                sizes.append(len(ids))
+                flat += ids
+            if len(sizes) >= GROUPED:
+                yield from _by_block(places, sizes, flat)
+                places, sizes, flat = [], [], []
+        yield from _by_block(places, sizes, flat)
+
+    merged = found.repartition("word").sortWithinPartitions("word", "at").mapInArrow(merge, "block long, packed array<binary>")
+    by_block = merged.groupBy("block").agg(F.collect_list("packed").alias("merged"))
+    whole = blocks.select("block", F.col("ids").alias("doc_ids"), "counts", "which").hint("merge").join(by_block.hint("merge"), "block", "left")
 
     def assemble(batches):
         for b in batches:
             for row in range(b.num_rows):
                 yield from _assembled(b.slice(row, 1))
 
-    return whole.drop("block").mapInArrow(assemble, "doc_id long, n_tokens long, ids binary").withColumnRenamed("doc_id", id_col)
+    def assemble_and_decode(batches):
+        return _decoded(assemble(batches), path, "ids")
+
+    schema = "doc_id long, n_tokens long, ids binary"
+    if decoded:
+        return whole.drop("block").mapInArrow(assemble_and_decode, f"{schema}, decoded string").withColumnRenamed("doc_id", id_col)
+    return whole.drop("block").mapInArrow(assemble, schema).withColumnRenamed("doc_id", id_col)
+
+
+def _by_block(places: list[np.ndarray], sizes: list[int], flat: list[int]):
+    """Places, numbers of ids and ids of merged words, packed for each block."""
+    if not sizes:
+        return
+    at, size, ids = np.concatenate(places), np.array(sizes, np.int64), np.array(flat, np.uint32)
+    starts = np.cumsum(size) - size
+    order = np.argsort(at)
+    block = at[order] // MOST_WORDS
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        rows = order[a:b]
+        place = at[rows] % MOST_WORDS
+        parts = [_pack(np.diff(place, prepend=0)), _pack(size[rows]), _pack(ids[ragged(starts[rows], size[rows])])]
+        yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], ["block", "packed"])
 
 
 def _assembled(row: pa.RecordBatch):
     doc_ids, counts = row.column("doc_ids").flatten(), row.column("counts").flatten().to_numpy()
-    merged = row.column("merged").flatten()
-    if len(merged):
-        place = merged.field("place").to_numpy()
-        packed = merged.field("ids")
-        packed = packed.take(pa.array(np.argsort(place)))
-        size = np.diff(np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]) // 4
-        flat = np.frombuffer(b"".join(packed.to_pylist()), "<u4")
-    else:
-        size, flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
-    n = row.column("n_which")[0].as_py()
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("which")[0].as_py(), max_output_size=max(3 * n, 1)), np.uint8).reshape(3, n)
-    by_use = row.column("by_use").flatten().to_numpy()
-    starts = np.cumsum(size) - size
+    parts = [[_unpack(x) for x in p] for p in row.column("merged")[0].as_py() or []]
+    place, size, flat = (np.concatenate([np.zeros(0, np.uint32), *(p[k] if k else np.cumsum(p[k]) for p in parts)]).astype(np.int64 if k < 2 else "<u4") for k in range(3))
+    starts, sizes = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    starts[place], sizes[place] = np.cumsum(size) - size, size
+    which = _unpack(row.column("which")[0].as_py())
     first = np.concatenate(([0], np.cumsum(counts)))
     step = 0
     while step < len(counts):
-        end = max(step + 1, int(np.searchsorted(first, first[step] + BATCH_BYTES // 8, "right")) - 1)
-        part = planes[:, first[step] : first[end]].astype(np.uint32)
-        words = by_use[part[0] | part[1] << 8 | part[2] << 16]
-        sizes = size[words].astype(np.int64)
-        sums = np.concatenate(([0], np.cumsum(sizes)))[first[step : end + 1] - first[step]]
-        data = flat[ragged(starts[words], sizes)]
+        end = max(step + 1, int(np.searchsorted(first, first[step] + BATCH_WORDS, "right")) - 1)
+        words = which[first[step] : first[end]]
+        own = sizes[words]
+        sums = np.concatenate(([0], np.cumsum(own)))[first[step : end + 1] - first[step]]
+        data = flat[ragged(starts[words], own)]
         if 4 * len(data) >= 1 << 31:
             raise ValueError("a text of over half a billion tokens")
         ids = pa.Array.from_buffers(pa.binary(), end - step, [None, pa.py_buffer((sums * 4).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
@@ -164,6 +191,13 @@ def _assembled(row: pa.RecordBatch):
         step = end
 
 
+def _decoded(batches, path: str, ids_col: str):
+    vocab = vocabulary(path)
+    for b in batches:
+        text = [None if x is None else vocab.decode_bytes(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in b.column(ids_col).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
+
+
 def decode(encoded: DataFrame, vocabulary_path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """`encoded` with decoded (string): the pieces of its packed ids in a row, as UTF-8 with replacement marks for broken parts.
 
@@ -171,14 +205,5 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None, ids_col: str
     and joins by position. Null ids give a null; an id that the vocabulary lacks fails the job.
     """
     path = checked_path(vocabulary_path)
-    names = encoded.columns
-
-    def join_pieces(batches):
-        vocab = vocabulary(path)
-        for b in batches:
-            packed = b.column(names.index(ids_col))
-            text = [None if x is None else vocab.decode_bytes(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in packed.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*names, "decoded"])
-
     schema = ", ".join([f"`{c}` {t}" for c, t in encoded.dtypes] + ["decoded string"])
-    return encoded.mapInArrow(join_pieces, schema)
+    return encoded.mapInArrow(lambda batches: _decoded(batches, path, ids_col), schema)

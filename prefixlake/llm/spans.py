@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 #: Code points in a slice; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
