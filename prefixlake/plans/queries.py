@@ -662,3 +662,116 @@ def _(spark, d):
     from prefixlake.sources import sinks
 
     return sinks.cli_lines(view(spark, d, "ingress")).select(F.trim(F.split("value", "\t")[0]).cast("bigint").alias("ingress_id"))
+
+
+# More of the filter language, over messages and updates.
+def message_scalar(name: str, sql: str, f):
+    @query(name, f"SELECT seq, {sql} AS value FROM ({MESSAGES}) m LEFT JOIN (SELECT ingress_id, remote_asn FROM ingress) i USING (ingress_id)")
+    def _(spark, d):
+        rows = _messages(spark, d).join(view(spark, d, "ingress").select("ingress_id", "remote_asn"), "ingress_id", "left")
+        return rows.select("seq", f(rows).alias("value"))
+
+
+message_scalar("X18_is_ibgp", "coalesce(remote_asn = 64602, false)", lambda m: p.is_ibgp(m["remote_asn"], 64602))
+message_scalar("X19_is_route_monitoring", "msg_type = 'route_monitoring'", lambda m: p.is_type(m["msg_type"], "route_monitoring"))
+message_scalar("X20_is_peer_down", "msg_type = 'peer_down'", lambda m: p.is_type(m["msg_type"], "peer_down"))
+message_scalar("X21_is_peer_up", "msg_type = 'peer_up'", lambda m: p.is_type(m["msg_type"], "peer_up"))
+message_scalar("X37_peer_address", "'::'", lambda m: p.peer_address(F.when(m["seq"] < 0, "x")))
+scalar("X01_prefix", "bits", lambda r: r["bits"])
+scalar("X09_announcements", "CAST(CASE WHEN op = 'announce' THEN 1 ELSE 0 END AS BIGINT)", lambda r: p.announcements_count(F.when(r["op"] == "announce", F.array("bits")).otherwise(F.array().cast("array<string>"))))
+scalar("X10_withdrawals", "CAST(CASE WHEN op = 'withdraw' THEN 1 ELSE 0 END AS BIGINT)", lambda r: p.withdrawals_count(F.when(r["op"] == "withdraw", F.array("bits"))))
+scalar("X24_fmt_asn", "'AS' || CAST(origin_asn AS VARCHAR)", lambda r: p.fmt_asn(r["origin_asn"]))
+scalar("X25_fmt_number", "CAST(otc AS VARCHAR)", lambda r: r["otc"].cast("string"))
+scalar("X27_attribute_communities", "communities_text LIKE '4294967041%' OR large_text = '64512:1:3'", lambda r: p.contains_community(r["communities"], p.NO_EXPORT) | p.contains_large_community(r["large_communities"], (64512, 1, 3)))
+scalar("X28_aspath", "concat(' ', hops_text, ' ') LIKE '% 64800 %'", lambda r: p.aspath_contains(r["hops"], 64800))
+
+
+@query("X30_rov_statuses", "SELECT bits, origin_asn, rov = 'valid' AS is_valid, rov = 'invalid' AS is_invalid, rov = 'notFound' AS is_not_found FROM rov")
+def _(spark, d):
+    rows = rov.validate(rib_of(spark, d), view(spark, d, "vrps"))
+    return rows.select("bits", "origin_asn", *((F.col("rov") == v).alias(n) for v, n in (("valid", "is_valid"), ("invalid", "is_invalid"), ("notFound", "is_not_found"))))
+
+
+@query("X33_asn_list_text", "SELECT * FROM (VALUES ('mine', CAST(64512 AS BIGINT)), ('mine', 64513), ('other', 1)) AS t(name, asn)")
+def _(spark, d):
+    return lists.asn_lists(spark, ASNS)
+
+
+@query("X34_prefix_list_text", f"SELECT * FROM (VALUES ('mine', '{LIST_BITS[0]}'), ('mine', '{LIST_BITS[1]}')) AS t(name, bits)")
+def _(spark, d):
+    return lists.prefix_lists(spark, PREFIXES).select("name", "bits")
+
+
+@query("X39_outputs", "SELECT topic, count(*) AS n FROM (SELECT 'prefix' AS topic FROM updates UNION ALL SELECT 'community' FROM updates WHERE communities_text LIKE '4294967041%' UNION ALL SELECT 'custom' FROM updates WHERE seq % 10 = 0) GROUP BY 1")
+def _(spark, d):
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    parts = [
+        events.emitted(rows, "prefix", F.lit(True), events.prefix_record(F.col("bits"))),
+        events.emitted(rows, "community", p.contains_community(F.col("communities"), p.NO_EXPORT), events.prefix_record(F.col("bits"))),
+        events.emitted(rows, "custom", F.col("seq") % 10 == 0, events.custom_record(1, 2)),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("F01_bgp_in", "SELECT seq FROM updates WHERE NOT concat(' ', hops_text, ' ') LIKE '% 64705 %'")
+def _(spark, d):
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    return p.accepted(rows, lambda df: ~p.aspath_contains(df["hops"], 64705)).select("seq")
+
+
+@query("F04_vrp_update", f"SELECT bits, ingress_id, current_status FROM ({DELTA.replace('FROM gone g WHERE', 'FROM gone g WHERE g.plen = 12 AND')})")
+def _(spark, d):
+    """VRPs whose events a filter rejects (other lengths than 12) count all the same; only the routes that they touch are left as they are."""
+    vrps = view(spark, d, "vrps")
+    told = p.accepted(vrps.filter("asn = 64513"), lambda v: v["plen"] == 12)
+    return rov.status_updates(live_of(spark, d), vrps, vrps.filter("asn <> 64513"), told).select("bits", "ingress_id", "current_status")
+
+
+@query("A22_update_report", "SELECT ingress_id, count(*) FILTER (op = 'announce') AS announcements, count(*) FILTER (op = 'withdraw') AS withdrawals FROM updates GROUP BY 1")
+def _(spark, d):
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    return rows.groupBy("ingress_id").agg(F.count_if(F.col("op") == "announce").alias("announcements"), F.count_if(F.col("op") == "withdraw").alias("withdrawals"))
+
+
+@query("A24_rtr_session", "SELECT max_by(ingress_id, seq) AS session_id, max(seq) AS serial, CAST(sum(plen) AS BIGINT) AS bytes_read, CAST(sum(length(bits)) AS BIGINT) AS bytes_written FROM route_log")
+def _(spark, d):
+    rows = log_of(spark, d).select("seq", F.col("ingress_id").alias("session_id"), F.col("seq").alias("serial"), "received_at", F.col("plen").cast("bigint").alias("n_read"), F.length("bits").cast("bigint").alias("n_written"))
+    return metrics.rtr_session(rows, F.current_timestamp()).select("session_id", "serial", "bytes_read", "bytes_written")
+
+
+@query("O07_families_in_order", "SELECT safi, CAST(afi AS INT) AS afi, bits, row_number() OVER (PARTITION BY safi ORDER BY afi, bits, ingress_id) AS place FROM live WHERE plen = 8")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("safi").orderBy("afi", "bits", "ingress_id")
+    return live_of(spark, d).filter("plen = 8").select("safi", F.col("afi").cast("int").alias("afi"), "bits", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query("U04_union_sources", "SELECT source, count(*) AS n FROM (SELECT 'a' AS source FROM updates WHERE seq % 2 = 0 UNION ALL SELECT 'b' FROM updates WHERE seq % 2 = 1) GROUP BY 1")
+def _(spark, d):
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    both = rows.filter("seq % 2 = 0").withColumn("source", F.lit("a")).unionByName(rows.filter("seq % 2 = 1").withColumn("source", F.lit("b")))
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("O05_user_metric_lines")
+def _(spark, d):
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw") & F.col("origin_asn").isNotNull())
+    named = F.concat(F.lit("asn"), F.col("origin_asn").cast("string")).alias("name")
+    return metrics.user_prometheus(metrics.counters(rows.select(named, F.lit(1).alias("amount"))), metrics.gauges(rows.select(named, "seq", F.col("plen").alias("value"))))
+
+
+@query("K04_custom_lines", "SELECT CASE WHEN seq % 2 = 0 THEN concat('[1970-01-01T00:00:', lpad(CAST(seq % 50 + 1 AS VARCHAR), 2, '0'), '+00:00] route ', bits) ELSE concat('route ', bits) END AS value FROM updates")
+def _(spark, d):
+    from prefixlake.sources import sinks
+
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    at = F.timestamp_seconds(F.when(F.col("seq") % 2 == 0, F.col("seq") % 50 + 1).otherwise(0))
+    return sinks.lines(rows.select("seq", F.concat(F.lit("route "), "bits").alias("custom"), at.alias("custom_at")))
+
+
+@query("X32_check_rov", "SELECT l.bits, l.ingress_id, rov FROM live l JOIN rov v ON v.bits = l.bits AND v.origin_asn IS NOT DISTINCT FROM l.origin_asn WHERE l.safi = 'unicast' AND rov <> 'invalid'")
+def _(spark, d):
+    """A filter at the table's door: routes get their status, and those that are invalid are not kept."""
+    checked = rov.with_rov(live_of(spark, d).filter("safi = 'unicast'"), view(spark, d, "vrps"))
+    return p.accepted(checked, lambda r: r["rov"] != "invalid").select("bits", "ingress_id", "rov")

@@ -263,3 +263,19 @@ def test_entry_without_llm(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert live_of(spark, "/root/testdata/sf0.001").count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_collector(spark, tmp_path):
+    from prefixlake.plans import collector
+
+    head = struct.pack(">IIHH", 64500, 1, 0, 1) + bytes([10, 0, 0, 1, 10, 0, 0, 2])
+    (tmp_path / "u.mrt").write_bytes(mrt(16, 4, head + bgp(update(NETS))) + mrt(16, 4, head + bgp(update((), NETS[:1]))))
+    text = f'[units.a]\nkind = "mrt-updates"\npaths = "{tmp_path}/u.mrt"\n[targets.out]\npath = "{tmp_path}/out"\nformat = "json-min"\n'
+    rows = collector.run(spark, collector.load(text)).collect()
+    assert {(r.plen, r.route_status) for r in rows} == {(8, "withdrawn"), (16, "active")}
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    for bad in ("[unknown]\n", '[units.a]\nkind = "x"\npaths = "y"\nport = 1\n', '[units.a]\nkind = "x"\n'):
+        with pytest.raises(ValueError):
+            collector.load(bad)
+    with pytest.raises(ValueError):
+        collector.run(spark, collector.load('[units.a]\nkind = "tcp"\npaths = "y"\n'))
