@@ -15,7 +15,7 @@ def views(sf_dir: str):
     return con
 
 
-KINDS = {"smallint": "int", "integer": "int", "bigint": "bigint", "double": "double", "varchar": "string", "boolean": "boolean"}
+KINDS = {"smallint": "smallint", "integer": "int", "bigint": "bigint", "double": "double", "varchar": "string", "boolean": "boolean"}
 
 
 def plain(x):
@@ -27,7 +27,7 @@ def same(spark, query, sql: str, sf_dir: str) -> str | None:
     df = query(spark, sf_dir)
     want = views(sf_dir).execute(sql)
     kinds = {d[0]: KINDS.get(str(d[1]).lower(), str(d[1]).lower()) for d in want.description}
-    got = {c: {"smallint": "int"}.get(t, t) for c, t in df.dtypes}
+    got = dict(df.dtypes)
     if kinds != got:
         return f"columns: {got} in Spark, {kinds} in DuckDB"
     order = sorted(kinds)
