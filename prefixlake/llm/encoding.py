@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixlake.llm.bpe import checked_path, vocabulary
@@ -24,6 +24,16 @@ BATCH_WORDS = 1 << 19
 ADDED = "\x00id"
 
 
+#: Names of the tables of blocks start so.
+BLOCKS = "word_blocks_"
+
+
+def drop_blocks(spark: SparkSession) -> None:
+    """Drop this session's tables of blocks; call it when what `encode` returned has been read."""
+    for t in spark.catalog.listTables(pattern=f"{BLOCKS}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+
 class _Block:
     """The documents of a block: each pre-token as the number of its word, each distinct word once."""
 
@@ -101,7 +111,7 @@ def split_words(docs: DataFrame, path: str) -> DataFrame:
         if block.ids:
             yield block.row(number)
 
-    name = f"word_blocks_{uuid.uuid4().hex}"
+    name = f"{BLOCKS}{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs.mapInArrow(split, _BLOCK_SCHEMA).write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefixlake.llm.shared import lowered
+from prefixlake.llm.shared import lowered, written
 
 # Phrases and labels of the base scan.
 BASE_PHRASES = {
@@ -116,8 +116,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     index = postings.join(rarest.select("template", "word", "idf"), ["template", "word"], "left").join(whole, "template").select("template", "word", "at", F.coalesce("idf", F.lit(0.0)).alias("weight"), "whole")
     names = _values(spark, [(k, label, f" {phrase} ") for k, (label, _, phrase) in enumerate(TEMPLATES)], "template, label, phrase")
 
-    base = base_scan(docs, id_col, text_col)
-    files = base.filter(_any_phrase(F.col("words"), dict.fromkeys(p for _, _, p in TEMPLATES))).select("key", "words")
+    phrases = dict.fromkeys(p for _, _, p in TEMPLATES)
+    base = written(base_scan(docs, id_col, text_col).withColumn("words", F.when(_any_phrase(F.col("words"), phrases), F.col("words"))))
+    files = base.filter("words IS NOT NULL").select("key", "words")
     placed = files.select("key", F.posexplode(F.split(F.trim("words"), " ")).alias("place", "word")).join(idf, "word")
     rare = placed.withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("idf"), "word"))).filter(F.col("rank") <= FILE_WORDS)
     hits = rare.join(F.broadcast(index), "word").select("key", "template", (F.col("place") - F.col("at")).alias("start"), "word", "weight", "whole").distinct()

@@ -49,6 +49,8 @@ def test_encode_and_decode(spark, odd, library):
     assert got == want
     assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in encoding.encode(docs, decoded=True).collect()) == want
     assert encoding.encode(docs.limit(0)).count() == 0
+    encoding.drop_blocks(spark)
+    assert not spark.catalog.listTables(pattern=f"{encoding.BLOCKS}*")
 
 
 def test_histogram(spark, odd, library):
