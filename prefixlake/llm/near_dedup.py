@@ -17,8 +17,8 @@ BANDS, ROWS = 10, 3
 GROUPS = 1 << 16
 #: Weights run from 1 (a shingle in every document) to 1 + IDF_SPAN (in one document).
 IDF_SPAN = 0.25
-#: Members of a bucket that are put in one row of neighbours.
-NEIGHBOURS = 500
+#: Of a bucket: members that meet the leaders in one block, leaders held at once, and leaders of the first round (each later one has four times as many).
+BLOCK, HELD, LEADERS = 500, 64, 16
 MAX_ROUNDS = 100
 
 
@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     Words are runs of ASCII letters, in lower case, and digits, and all beyond ASCII; shingles are WIDTH words. Two texts link
     when their weighted Jaccard similarity is `threshold` or more; classes are what links join. Texts of equal words are one
-    from the start; of a bucket, each text is compared with the bucket's least and, if that doesn't join them, with
-    a neighbour, so that pairs grow with the number of texts and not with its square. A text without words (null, empty)
+    from the start; of a bucket, each text is compared with the bucket's least, and then with leaders, round by round, until
+    every two texts of the bucket are of one class or have been compared. A text without words (null, empty)
     is a class of its own; a null id counts as the least number. Rows that repeat an id and a text: one is kept.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).alias("text"))
@@ -245,23 +245,110 @@ def _links(rows: DataFrame, signed: DataFrame, texts: DataFrame, weights: np.nda
     keys = written(texts.select("rep", F.explode("bands").alias("key")))
     buckets = written(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = written(join_counted(keys.join(buckets.select("key"), "key", "left_semi"), buckets, "key", "n"))
-    led = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    # Salts keep each row of neighbours short; the order is the same in every band, so that a pair comes up once for a group.
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / NEIGHBOURS)))
-    order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("rep"), "rep")
-    beside = salted.withColumn("before", F.lag("rep").over(order)).filter("before IS NOT NULL").select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b")).distinct()
-    led, beside = written(led), written(beside)
+    led = written(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
     named = texts.select("rep", "rep_id", "digest")
     wanted = led.select(F.col("a").alias("rep")).union(led.select("b")).distinct()
     needed = written(_texts_of(rows, named.join(wanted.hint("merge"), "rep", "left_semi")))
-    first = written(verified(led, needed, weights, threshold))
-    if not beside.limit(1).count():
-        return first
-    labels = components(first) if first.limit(1).count() else first.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    left, right = (labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")).hint("merge") for c in ("a", "b"))
-    rest = beside.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    rest = written(rest.join(led, ["a", "b"], "left_anti"))
-    return first.union(verified(rest, needed, weights, threshold))
+    links = new = written(verified(led, needed, weights, threshold))
+    fame = members.groupBy("rep").agg(F.sum("n").alias("fame"))
+    left = members.filter("rep <> leader").select("key", "rep").join(fame.hint("merge"), "rep")
+    left, width = written(_unsettled(left.withColumn("label", F.col("rep")), new)), LEADERS
+    while left.limit(1).count():
+        leaders = written(_leaders(left, links, width))
+        new = written(_compared(_units(left, leaders, width), needed, weights, threshold).distinct())
+        links = links.union(new)
+        left = written(_unsettled(left, new, leaders))
+        width *= 4
+    return links
+
+
+def _unsettled(left: DataFrame, new: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """`left` (key, rep, fame, label) with labels joined by the `new` links, without the rows that have met all others of their bucket (`done`), and without
+    the buckets whose rows have one label: none of their pairs can join more."""
+    if new.limit(1).count():
+        names = left.select("rep", "label").distinct()
+        at = lambda c: names.select(F.col("rep").alias(c), F.col("label").alias(f"of_{c}")).hint("merge")
+        # A bucket's first leader may be left in no bucket; then its label is its own number still.
+        tag = lambda c: F.coalesce(f"of_{c}", c)
+        joined = written(new.join(at("a"), "a", "left").join(at("b"), "b", "left").select(tag("a").alias("a"), tag("b").alias("b")).filter("a <> b").distinct())
+        if joined.limit(1).count():
+            left = left.join(components(joined).select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("key", "rep", "fame", F.coalesce("now", "label").alias("label"))
+    if done is not None:
+        left = left.join(done.select("key", "rep").hint("merge"), ["key", "rep"], "left_anti")
+    left = written(left)
+    mixed_up = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return left.join(mixed_up, "key", "left_semi")
+
+
+def _leaders(left: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """(key, rep, label, block): `width` rows of each bucket, half those in the largest buckets and with most links (as an original among its copies), half those of the bucket's smallest classes."""
+    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+    sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    known = left.join(degree.hint("merge"), "rep", "left").join(sizes, ["key", "label"])
+    known = written(known.join(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts")), "key").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts")))
+    last = (F.desc("fame"), F.desc_nulls_last("degree"), F.xxhash64("rep"), "rep")
+    found = []
+    for order in (last, ("size", *last)):
+        top = known
+        for by in (("key", "salt"), ("key",)):
+            top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= width // 2)
+        found.append(top.select("key", "rep", "label"))
+    return found[0].union(found[1]).distinct().withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(-(-width // HELD))))
+
+
+def _units(left: DataFrame, leaders: DataFrame, width: int) -> DataFrame:
+    """(unit, lead, rep, label): the leaders of a block with each salt of their bucket, and the rows of that salt that have another label than some of them."""
+    salts = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
+    blocks = leaders.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    unit = F.xxhash64("key", "block", "salt").alias("unit")
+    heads = leaders.join(salts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(unit, F.lit(True).alias("lead"), "rep", "label")
+    rows = left.join(salts, "key").join(blocks, "key").filter("label <> low OR label <> high").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
+    rows = written(rows.select(unit, F.lit(False).alias("lead"), "rep", "label"))
+    return rows.union(heads.join(rows.select("unit").distinct(), "unit", "left_semi"))
+
+
+def _compared(units: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Verified links (a, b) of the leaders of each unit with its rows of other labels."""
+    sent = units.sparkSession.sparkContext.broadcast(weights)
+
+    def compare(batches):
+        unit, held, known, heads = None, [], None, []
+        for rows, texts in slices(batches):
+            owner, shingles, count, _ = shingle_sets(Texts(texts))
+            weight = sent.value[group_of(shingles)].astype(np.float64) * count
+            units, reps, labels = (rows.column(c).to_numpy() for c in ("unit", "rep", "label"))
+            lead = rows.column("lead").to_numpy(zero_copy_only=False)
+            ends = np.searchsorted(owner, np.arange(len(reps) + 1))
+            cuts = np.flatnonzero((units[1:] != units[:-1]) | (lead[1:] != lead[:-1])) + 1
+            left, right = [], []
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(reps)], strict=True):
+                if units[i] != unit:
+                    unit, held, known = units[i], [], None
+                if lead[i]:
+                    held += [(reps[k], labels[k], shingles[ends[k] : ends[k + 1]], weight[ends[k] : ends[k + 1]]) for k in range(i, j)]
+                    continue
+                if known is None:
+                    known = np.unique(np.concatenate([h[2] for h in held]))
+                    heads = [(rep, label, np.searchsorted(known, s), w) for rep, label, s, w in held]
+                own = slice(ends[i], ends[j])
+                at = np.minimum(np.searchsorted(known, shingles[own]), len(known) - 1)
+                at[known[at] != shingles[own]] = len(known)
+                whose = owner[own] - i
+                totals = np.bincount(whose, weight[own], j - i)
+                for rep, label, places, w in heads:
+                    if not (labels[i:j] != label).any():
+                        continue
+                    full = np.zeros(len(known) + 1)
+                    full[places] = w
+                    both = np.bincount(whose, np.minimum(weight[own], full[at]), j - i)
+                    near = (both / np.maximum(totals + w.sum() - both, 1e-12) >= threshold) & (labels[i:j] != label)
+                    left += [rep] * int(near.sum())
+                    right += reps[i:j][near].tolist()
+            pairs = np.array([left, right], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+
+    full = units.join(texts.hint("merge"), "rep").select("unit", "lead", "rep", "label", "text")
+    return full.repartition("unit").sortWithinPartitions("unit", F.desc("lead")).mapInArrow(compare, "a long, b long")
 
 
 def _texts_of(rows: DataFrame, named: DataFrame) -> DataFrame:

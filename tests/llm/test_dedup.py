@@ -168,6 +168,48 @@ def test_near_duplicates(spark):
     assert kept.dtypes == frame.dtypes and kept.count() == len(sizes[0])
 
 
+def edited(words, rng, share, tag):
+    words = list(words)
+    for i in rng.choice(len(words), max(1, int(len(words) * share)), replace=False):
+        words[i] = f"{tag}x{i}"
+    return " ".join(words)
+
+
+def test_original_after_its_copies(spark):
+    """Copies are near the original and not near each other; the original has the greatest row number."""
+    rng = np.random.default_rng(8)
+    original = [f"o{i}" for i in range(300)]
+    docs = [(k, edited(original, rng, 0.018, f"c{k}")) for k in range(700)] + [(9999, " ".join(original))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    weights = near_dedup.idf_weights(*near_dedup.document_frequencies(frame))
+    to_original = near_dedup.weighted_jaccard([t for _, t in docs[:-1]], [docs[-1][1]] * 700, weights)
+    to_first = near_dedup.weighted_jaccard([t for _, t in docs[1:-1]], [docs[0][1]] * 699, weights)
+    assert (to_original >= 0.8).mean() > 0.95 and (to_first >= 0.8).mean() < 0.05
+    rows = near_dedup.near_duplicates(frame).collect()
+    sizes = np.unique([r.class_id for r in rows], return_counts=True)[1]
+    assert sizes.max() >= 0.97 * len(docs)
+
+
+def test_all_pairs_of_a_bucket(spark, monkeypatch):
+    """All texts share one bucket, whose classes lie near each other: the classes are those of all pairs."""
+    rng = np.random.default_rng(11)
+    common, docs = [f"s{i}" for i in range(80)], []
+    for c in range(8):
+        core = common + [f"k{c}w{i}" for i in range(60)]
+        docs += [(100 * c + k, edited(core, rng, 0.014, f"e{c}k{k}")) for k in range(12)] + [(100 * c + 50, " ".join(core))]
+    docs += [(5000 + k, edited(common, rng, 0.1, f"z{k}")) for k in range(9)]
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    sign = near_dedup.signatures
+    monkeypatch.setattr(near_dedup, "signatures", lambda d, w: sign(d, w).selectExpr("doc_id", "digest", "array(7L) AS bands"))
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "HELD", 4)
+    monkeypatch.setattr(near_dedup, "LEADERS", 6)
+    want = brute_classes(docs, near_dedup.idf_weights(*near_dedup.document_frequencies(frame)))
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame).collect()} == want
+    assert 8 < len(set(want.values())) < 30
+
+
 def test_near_edges(spark):
     rows = [(1, "same words in this short text"), (1, "same words in this short text"), (None, "same words in this short text"), (None, None), (5, "other")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
