@@ -1,7 +1,5 @@
 """Passages that repeat, by sparse suffix arrays: suffixes at minimiser positions are sorted, neighbours compared, matches extended both ways."""
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,10 +16,10 @@ SEED_WORDS = 8
 WORD_BYTES = 3
 #: Words of a suffix by which ranges are drawn; at least a seed's.
 RANGE_WORDS = 12
-#: Suffixes that are compared at once; and a seed with more than so many is hot.
+#: Suffixes that are compared at once. FEW has no effect any more; tests still set it.
 CHUNK, FEW = 16_384, 1_000
-_SUFFIX = "doc_id long, key long, place int, after binary, before binary, hot boolean"
-_NAMES = ["doc_id", "key", "place", "after", "before", "hot"]
+_SUFFIX = "doc_id long, key long, place int, after binary, before binary"
+_NAMES = ["doc_id", "key", "place", "after", "before"]
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,7 +87,7 @@ def _suffixes(rows: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
             held = part.column("places")
             count = np.diff(np.asarray(held.offsets))
             doc = np.repeat(np.arange(len(texts)), count)
-            place, hot = (np.asarray(held.flatten().field(c)) for c in ("place", "hot"))
+            place = np.asarray(held.flatten())
             short = words.astype(np.uint32) & np.uint32((1 << 8 * WORD_BYTES) - 1)
             short[short == 0] = 1
             for low in range(0, len(place), 1 << 14):
@@ -103,7 +101,7 @@ def _suffixes(rows: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
                     packed = np.ascontiguousarray(found.view(np.uint8).reshape(len(at), len(steps), 4)[:, :, 4 - WORD_BYTES :])
                     sides.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1, dtype=np.int32) * len(steps) * WORD_BYTES).tobytes()), pa.py_buffer(packed.tobytes())]))
                 take = pa.array(own)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), pa.array(at.astype(np.int32)), *sides, pa.array(hot[low : low + (1 << 14)])], _NAMES)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), pa.array(at.astype(np.int32)), *sides], _NAMES)
 
     return rows.join(places.hint("merge"), "key").select("doc_id", "key", "text", "places").mapInArrow(cut, _SUFFIX)
 
@@ -126,17 +124,16 @@ def _prefixes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def matched_words(after: np.ndarray, before: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows in order of their places: how far each one's repeated words go to the left and right of its seed (0, 0: none), and which rows are the first of equal ones.
+def matched_words(after: np.ndarray, before: np.ndarray, min_words: int, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
+    """For rows in order of their places: how far each one's repeated words go to the left and right of its seed (0, 0: none); and the open windows.
 
     A row is put beside its neighbours for each share of min_words words between left and right: sorted by those words,
     equal rows stand together, and all but the first of them repeat it. So a row's words are the union of all windows
-    of min_words words around its seed that an earlier row of these has too.
+    of min_words words around its seed that an earlier row of these has too. Of `cut` rows the windows that no earlier row
+    of these has are open: (rows, hashes of the windows, words to the right).
     """
     n = len(after)
-    right, left, first = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    if n < 2:
-        return left, right, first
+    right, left, still = np.zeros(n, np.int64), np.zeros(n, np.int64), []
     ahead, behind = _prefixes(after), _prefixes(before)
     for j in range(SEED_WORDS, min_words + 1):
         k = min_words - j
@@ -151,42 +148,41 @@ def matched_words(after: np.ndarray, before: np.ndarray, min_words: int) -> tupl
         later = rows[order[again]]
         left[later] = np.maximum(left[later], k)
         right[later] = np.maximum(right[later], j)
-        head = np.zeros(len(rows), bool)
-        head[:-1] = again[1:] & ~again[:-1]
-        first[rows[order[head]]] = True
-    return left, right, first
+        lone = order[~again]
+        lone = lone[cut[rows[lone]]]
+        if len(lone):
+            still.append((rows[lone], mixed(found[lone] + np.uint64(j)), j))
+    return left, right, still
 
 
-_FOUND = f"{_SUFFIX}, open boolean, low int, high int"
+_FOUND = "doc_id long, key long, place int, low int, high int, window long"
 
 
-def _compared(suffixes: DataFrame, min_words: int, keep_lone: bool) -> DataFrame:
-    """Rows of `suffixes`, which come sorted within their partitions: those with repeated words (low to high), and those left open.
+def _compared(suffixes: DataFrame, min_words: int) -> DataFrame:
+    """Of `suffixes`, which come sorted within their partitions: words that an earlier place repeats (low to high), and open windows, with their hash in `window`.
 
     The rows of a seed are compared at once, CHUNK of them at most. If others may lie elsewhere (a partition's first and last
-    seed, and seeds of over CHUNK rows), a row that others here repeat is open; so is a lone one, which shares no words with
-    an earlier one here, but of hot seeds only if `keep_lone`.
+    seed, and seeds of over CHUNK rows), each window that no earlier row here has is open.
     """
     back = min_words - SEED_WORDS
     seed_bytes = SEED_WORDS * WORD_BYTES
 
     def settle(table: pa.Table, cut: np.ndarray):
-        table = table.combine_chunks()
         after, before = _words(table.column("after"), min_words), _words(table.column("before"), back)
-        place = table.column("place").to_numpy()
-        order = np.lexsort((place, table.column("key").to_numpy(), table.column("doc_id").to_numpy()))
-        found = matched_words(after[order], before[order], min_words)
-        left, right, first = (np.empty_like(x) for x in found)
-        for x, y in zip((left, right, first), found, strict=True):
-            x[order] = y
-        lone = (right == 0) & (keep_lone | ~table.column("hot").to_numpy())
-        unsettled = cut & (first | lone)
-        rows = np.flatnonzero((right > 0) | unsettled)
-        taken = table.take(pa.array(rows)).combine_chunks()
-        columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in taken.select(_NAMES).columns]
-        low, high = place[rows] - left[rows], place[rows] + right[rows]
+        doc, key, place = (table.column(c).to_numpy() for c in ("doc_id", "key", "place"))
+        order = np.lexsort((place, key, doc))
+        doc, key, place = doc[order], key[order], place[order]
+        left, right, still = matched_words(after[order], before[order], min_words, cut[order])
+
+        def batch(rows, low, high, window):
+            columns = [pa.array(doc[rows]), pa.array(key[rows]), pa.array(place[rows]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), window]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "place", "low", "high", "window"])
+
+        rows = np.flatnonzero(right)
         if len(rows):
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(unsettled[rows]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], [*_NAMES, "open", "low", "high"])
+            yield batch(rows, place[rows] - left[rows], place[rows] + right[rows], pa.nulls(len(rows), pa.int64()))
+        for rows, hashes, j in still:
+            yield batch(rows, place[rows] - (min_words - j), place[rows] + j, pa.array(hashes.view(np.int64)))
 
     def compare(batches):
         held, first_seed = None, None
@@ -217,22 +213,18 @@ def _compared(suffixes: DataFrame, min_words: int, keep_lone: bool) -> DataFrame
 def _repeats(suffixes: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, key, low, high): words that an earlier place has.
 
-    Exact for seeds of up to FEW rows. Of a hot seed, two rows whose shared words nobody else in their chunks has, neither in
-    the order of the words after the seed nor in that of those before it, stay unmatched.
+    What chunks and partitions leave open meets by the hash of each window, where the least place keeps it.
     """
     order = ["after", "before", "doc_id", "key", "place"]
-    turned = ["before", "after", "doc_id", "key", "place"]
-    width = RANGE_WORDS * WORD_BYTES
-    seed = F.substring("after", 1, SEED_WORDS * WORD_BYTES)
     # Ranges go by few words and the place: Spark draws them from a sample of these columns on the driver.
-    ranged = suffixes.repartitionByRange(F.substring("after", 1, width), "key", "place").sortWithinPartitions(*order)
-    one = written(_compared(ranged, min_words, True))
-    rest = one.filter("open").select(*_NAMES)
-    ranged = rest.repartitionByRange(seed, F.substring("before", 1, width), "key", "place").sortWithinPartitions(seed, *turned)
-    two = written(_compared(ranged, min_words, False))
-    rest = two.filter("open").select(*_NAMES).withColumn("seed", seed)
-    three = _compared(rest.repartition("seed").sortWithinPartitions("seed", *order).select(*_NAMES), min_words, False)
-    return reduce(DataFrame.union, (x.filter("high > low").select("doc_id", "key", "low", "high") for x in (one, two, three)))
+    ranged = suffixes.repartitionByRange(F.substring("after", 1, RANGE_WORDS * WORD_BYTES), "key", "place").sortWithinPartitions(*order)
+    found = written(_compared(ranged, min_words))
+    still = found.filter("window IS NOT NULL")
+    least = F.min(F.struct("doc_id", "key", "place")).alias("least")
+    groups = written(still.groupBy("window").agg(least, F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    later = join_counted(still, groups, "window", "n").filter(F.struct("doc_id", "key", "place") != F.col("least"))
+    later = later.groupBy("doc_id", "key", "place").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("place")
+    return found.filter("window IS NULL").select("doc_id", "key", "low", "high").union(later)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,13 +235,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     repeat both are one text. Texts with fewer than `min_words` words, empty or null have no passages.
     Seeds that occur once are dropped; the other suffixes are sorted by range over their words and places, so that a passage
     that a third of all documents share is spread over tasks like any other. Its rows meet in chunks; what a chunk leaves open
-    meets again sorted by the words before the seed, and what that leaves open meets seed by seed.
+    meets window by window.
     """
     rows = _keyed(docs, id_col, text_col)
     seeds = written(_seeds(rows, min_words))
     counts = written(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = join_counted(seeds, counts, "seed", "n")
-    places = shared.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", (F.col("n") > FEW).alias("hot")))).alias("places"))
+    places = shared.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     later = _repeats(_suffixes(rows, places, min_words), min_words)
     ranges = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("ranges"))
     joined_up = F.aggregate(

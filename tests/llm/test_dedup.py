@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from prefixlake.llm import near_dedup, passages
-from prefixlake.llm.spans import Texts
+from prefixlake.llm.spans import Texts, plain_words, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,6 +80,31 @@ def test_small_chunks(spark, monkeypatch):
     assert sum(len(want[d] - got[d]) for d in want if d != 3) <= 0.05 * total
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_nothing_lost_at_borders(spark, monkeypatch, partitions):
+    """A hot seed cut into many chunks; two rows each share a window of 21 words before and after it, and many either half."""
+    monkeypatch.setattr(passages, "CHUNK", 7)
+    monkeypatch.setattr(passages, "FEW", 3)
+    rng = np.random.default_rng(21)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    many = text(100_000)
+    at = int(np.argmin(windows(plain_words(Texts([" ".join(many)]))[2], passages.SEED_WORDS)))
+    seed = many[at : at + passages.SEED_WORDS]
+    lefts, rights = [text(21) for _ in range(9)], [text(21) for _ in range(9)]
+    docs = [(i, " ".join(text(30) + lefts[i % 9] + seed + rights[i // 9 % 9] + text(30))) for i in rng.permutation(162).tolist()]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    got = {d: set() for d, _ in docs}
+    for r in rows:
+        for x in r.spans:
+            got[r.doc_id] |= set(range(x["start"], x["end"]))
+    want = brute_spans(docs, 50)
+    assert sum(map(bool, want.values())) == 81 and got == want
+
+
 def test_cut_texts(spark):
     docs = planted(5)
     frame = spark.createDataFrame([(i, t, "k", [1], None) for i, t in docs], "doc_id long, text string, key string, spans array<int>, after string")
