@@ -31,8 +31,8 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
 )
-#: Of a file's licence words, so many with the highest IDF are looked up; of a template's, so many count for its score.
-FILE_WORDS, TEMPLATE_WORDS = 24, 8
+#: Of a template's words, so many with the highest IDF are looked up in files and count for its score.
+TEMPLATE_WORDS = 8
 #: Share of the weight of a template's rarest words that must stand at their relative positions.
 COVER = 0.6
 #: A run of what separates words: ASCII other than letters and digits.
@@ -99,8 +99,8 @@ def word_idf(docs: DataFrame, postings: DataFrame, text_col: str = "text") -> Da
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Each file's licence words with the highest IDF are looked up in the templates' postings; those that agree on where the
-    template starts in the file, weighed by IDF against the template's own rarest words, are its cover (score: the best one).
+    Each file's words are looked up in the postings of the templates' rarest words; those that agree on where the
+    template starts in the file, weighed by IDF against all of the template's rarest words, are its cover (score: the best one).
     A label holds if the cover is COVER or more and the template's key phrase stands in the file. Only files with some key
     phrase are looked up, as no other can get a label. Nothing is kept per word of the corpus but one count for each
     licence word, so frequent words are counted before the shuffle. Null and empty texts have no words and no labels; rows
@@ -113,15 +113,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rank = Window.partitionBy("template").orderBy(F.desc("idf"), "word")
     rarest = weighed.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= TEMPLATE_WORDS)
     whole = rarest.groupBy("template").agg(F.sum("idf").alias("whole"))
-    index = postings.join(rarest.select("template", "word", "idf"), ["template", "word"], "left").join(whole, "template").select("template", "word", "at", F.coalesce("idf", F.lit(0.0)).alias("weight"), "whole")
+    index = postings.join(rarest.select("template", "word", "idf"), ["template", "word"]).join(whole, "template").select("template", "word", "at", F.col("idf").alias("weight"), "whole")
     names = _values(spark, [(k, label, f" {phrase} ") for k, (label, _, phrase) in enumerate(TEMPLATES)], "template, label, phrase")
 
     phrases = dict.fromkeys(p for _, _, p in TEMPLATES)
     base = written(base_scan(docs, id_col, text_col).withColumn("words", F.when(_any_phrase(F.col("words"), phrases), F.col("words"))))
     files = base.filter("words IS NOT NULL").select("key", "words")
-    placed = files.select("key", F.posexplode(F.split(F.trim("words"), " ")).alias("place", "word")).join(idf, "word")
-    rare = placed.withColumn("rank", F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("idf"), "word"))).filter(F.col("rank") <= FILE_WORDS)
-    hits = rare.join(F.broadcast(index), "word").select("key", "template", (F.col("place") - F.col("at")).alias("start"), "word", "weight", "whole").distinct()
+    placed = files.select("key", F.posexplode(F.split(F.trim("words"), " ")).alias("place", "word"))
+    hits = placed.join(F.broadcast(index), "word").select("key", "template", (F.col("place") - F.col("at")).alias("start"), "word", "weight", "whole").distinct()
     cover = hits.groupBy("key", "template", "start").agg((F.sum("weight") / F.max("whole")).alias("cover")).groupBy("key", "template").agg(F.max("cover").alias("cover"))
     verified = cover.filter(F.col("cover") >= COVER).join(F.broadcast(names), "template").join(files.distinct(), "key").filter(F.expr("contains(words, phrase)"))
     found = verified.groupBy("key").agg(F.collect_set("label").alias("found"), F.least(F.max("cover"), F.lit(1.0)).alias("score"))

@@ -37,6 +37,14 @@ def test_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_all_notices_in_one_file(spark):
+    texts = [" and then some other words. ".join(t for _, t, _ in licenses.TEMPLATES), *(t for _, t, _ in licenses.TEMPLATES)]
+    docs = spark.createDataFrame([(i - 100, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    rows = {r.doc_id: r for r in licenses.scan(docs).filter("doc_id < 0").collect()}
+    assert rows[-100].labels == ",".join(sorted({x for x, _, _ in licenses.TEMPLATES}))
+    assert rows[-100].score == max(r.score for r in rows.values())
+
+
 def test_native_plan(spark):
     frame = spark.createDataFrame([(1, "mit license")], "doc_id long, text string")
     plan = licenses.scan(frame)._jdf.queryExecution().executedPlan().toString()
