@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,8 @@ _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"
 # Names of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template title textarea select option button svg math iframe object canvas audio video xmp".split())
+RAW = frozenset("script style title textarea xmp".split())
+UNSEEN = frozenset("noscript template select option optgroup datalist button svg math iframe object canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 HOLDS = frozenset("ul ol dl table section article div main body td th aside nav form header footer blockquote".split())
 TAGS = frozenset("html body article main section div p h1 h2 h3 h4 ul ol li dl dt dd table tr td th nav header footer aside form blockquote pre figure figcaption address fieldset details dialog menu center".split())
@@ -39,6 +41,19 @@ def element_features(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 _KNOWN = frozenset(WORDS)
+#: Unseen elements within each other that are told apart; deeper ones end with these.
+DEEPEST = 64
+
+
+@lru_cache(None)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*>?", re.I)
+
+
+@lru_cache(None)
+def _next_of(name: str) -> re.Pattern:
+    """The next start or end tag of an element; group 1 tells which."""
+    return re.compile(rf"<(/?){name}\b", re.I)
 
 
 class Tree:
@@ -50,6 +65,8 @@ class Tree:
         self.text: list[str | None] = [None]
         self.tags = ["html"]
         stack, run, linked, in_link = [0], [], 0, 0
+        opened: Counter = Counter()
+        muted: list[tuple[str, int, bool]] = []  # open unseen elements: name, depth, and whether an end tag follows
 
         def flush() -> None:
             nonlocal run, linked
@@ -59,11 +76,17 @@ class Tree:
                     self._add(stack[-1], leaf_features(text, linked, self.tags[stack[-1]]), text, "")
             run, linked = [], 0
 
+        def cut(depth: int) -> None:
+            opened.subtract(self.tags[k] for k in stack[depth:])
+            del stack[depth:]
+            while muted and muted[-1][1] > depth:
+                muted.pop()
+
         at, n = 0, len(page)
         while at < n:
             m = _TOKEN.search(page, at)
             text = page[at : m.start() if m else n]
-            if text:
+            if text and not muted:
                 run.append(text)
                 if in_link:
                     linked += len(text.split())
@@ -74,10 +97,18 @@ class Tree:
             if not name:
                 continue
             name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-            if name in UNSEEN:
-                if not closing and not attributes.endswith("/"):
-                    end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            if name in RAW:
+                if not closing and not (attributes.endswith("/") and name != "script"):
+                    end = _end_of(name).search(page, at)
                     at = end.end() if end else n
+            elif name in UNSEEN:
+                if closing:
+                    if k := next((k for k in range(len(muted), 0, -1) if muted[k - 1][0] == name), 0):
+                        del muted[k - 1 :]
+                elif not attributes.endswith("/"):
+                    following = _next_of(name).search(page, at)
+                    if len(muted) < DEEPEST:
+                        muted.append((name, len(stack), bool(following and following[1])))
             elif name == "a":
                 in_link = 0 if closing else 1
             elif name in INLINE:
@@ -85,27 +116,35 @@ class Tree:
             elif name == "br":
                 run.append(" ")
             elif closing:
-                flush()
-                in_link = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if opened[name] > 0 or not muted:
+                    flush()
+                    in_link = 0
+                if opened[name] > 0:
+                    k = len(stack) - 1
+                    while self.tags[stack[k]] != name:
+                        k -= 1
+                    cut(k)
             else:
+                while muted and not muted[-1][2]:  # a block ends an unseen element that has no end tag
+                    muted.pop()
+                if muted:
+                    continue
                 flush()
                 if name in ("html", "head"):
                     continue
                 closed = CLOSES.get(name, ())
                 while len(stack) > 1 and (self.tags[stack[-1]] == "p" or self.tags[stack[-1]] in closed):
-                    stack.pop()
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] in closed:
-                        del stack[k:]
-                        break
-                    if self.tags[stack[k]] in HOLDS:
-                        break
+                    cut(len(stack) - 1)
+                if any(opened[c] > 0 for c in closed):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if self.tags[stack[k]] in closed:
+                            cut(k)
+                            break
+                        if self.tags[stack[k]] in HOLDS:
+                            break
                 if name not in VOID and not attributes.endswith("/"):
                     stack.append(self._add(stack[-1], element_features(name, attributes), None, name))
+                    opened[name] += 1
         flush()
 
     def _add(self, parent: int, features: tuple[str, ...], text: str | None, tag: str) -> int:
@@ -297,8 +336,10 @@ def main_texts(pages: DataFrame, model: TreeModel | None = None, html_col: str =
     """`pages` without `html_col`, with text and n_chars: the main text of every page, from the whole of its HTML.
 
     Blocks (what block elements part) are joined by line ends in page order; white space in a block is one blank; character
-    references are decoded; scripts, styles, form fields and the like are never text. A null or empty page, or one
-    without an article, has an empty text. No shuffle: a page is one row, so no key is hot.
+    references are decoded; scripts, styles, form fields and the like are never text. Of these, only scripts, styles, titles
+    and text areas without an end tag reach to the end of the page; others end with the element that they stand in or, if no
+    end tag follows, at the next block. A null or empty page, or one without an article, has an empty text. No shuffle: a
+    page is one row, so no key is hot.
     """
     names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     fitted = model or trained_model()
