@@ -1,5 +1,6 @@
 """Operator 6 against a brute-force version of the base scan, and on known notices."""
 
+import math
 import re
 from collections import Counter
 
@@ -15,6 +16,50 @@ def brute(text):
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def brute_labels(texts):
+    """(labels, score) of each text: templates slid over the text's words, weighed by counts over all texts."""
+    files = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    df = Counter(w for f in files for w in set(f))
+    idf = lambda w: math.log((len(files) + 1) / (df[w] + 1))
+    out = []
+    for words in files:
+        labels, score = {x for p, x in PHRASES.items() if f" {p} " in f" {' '.join(words)} "}, 0.0
+        at = {}
+        for i, w in enumerate(words):
+            at.setdefault(w, []).append(i)
+        for label, text, phrase in licenses.TEMPLATES:
+            if f" {phrase} " not in f" {' '.join(words)} ":
+                continue
+            own = text.split()
+            rarest = sorted(set(own), key=lambda w: (-idf(w), w))[: licenses.TEMPLATE_WORDS]
+            starts = {}
+            for k, w in enumerate(own):
+                if w in rarest:
+                    for i in at.get(w, ()):
+                        starts.setdefault(i - k, set()).add(w)
+            best = max((sum(map(idf, s)) for s in starts.values()), default=0) / sum(map(idf, rarest))
+            if best >= licenses.COVER - 1e-12:
+                labels.add(label)
+                score = max(score, min(best, 1.0))
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_labels_against_brute_force(spark):
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    texts = [f"x{k} " * k + t.title() + f". y{k}" for k, t in enumerate(notices)]
+    texts += [" ".join(notices[k : k + 5]) for k in range(len(notices))]
+    texts += [" ".join(w for i, w in enumerate(t.split()) if i % m) + " " + p for m in (2, 3, 5, 9) for _, t, p in licenses.TEMPLATES]
+    texts += [t.replace(" the ", " a new ") for t in notices] + [None, "", "mit license"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame).collect()}
+    want = brute_labels(texts)
+    assert len({x for x, _ in want}) > 25
+    for i, (labels, score) in enumerate(want):
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-9, texts[i]
+
+
 def test_scan(spark):
     texts = [None, "", "...", "MIT License mit license, MIT\nlicense", "the 😀 漢字 Apache-License. x", "cc by", "CC BY-NC 4.0 cc by sa", "xmit license", "  mit license \u0085 gnu general public license", "a " * 4000 + "Apache License " * 3, "nothing here"]
     texts += [f"some words before it. {t.upper()}. and after" for _, t, _ in licenses.TEMPLATES]
