@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from prefixlake.llm.bpe import checked_path, vocabulary
 from prefixlake.llm.spans import Texts, ragged, slices
 
-#: Code points whose distinct words are kept together.
+#: Code points whose distinct words are kept together; a longer text is a block of its own.
 BLOCK = 1 << 24
-#: A word's position in all blocks: block * MOST_WORDS + place in the block.
-MOST_WORDS = 1 << 22
+#: A word's position in all blocks: block * MOST_WORDS + place in the block. A text, of 2^31 bytes at most, has fewer words.
+MOST_WORDS = 1 << 31
+#: Blocks of a task at most, 2^31 / BLOCK_NUMBERS tasks at most.
+BLOCK_NUMBERS = 1 << 12
+#: Ids of one text at most: Spark holds no longer binary value.
+MOST_IDS = (1 << 29) - 1
 #: Words that a task groups by block before it sends their ids back.
 GROUPED = 1 << 20
 #: Pre-tokens in a batch of results.
@@ -67,8 +71,6 @@ class _Block:
         which = np.concatenate(self.which)
         rough = np.log2(np.bincount(which, minlength=len(self.words))).astype(int).tolist()
         order = sorted(range(len(self.words)), key=lambda i: (-rough[i], self.words[i]))
-        if len(order) >= MOST_WORDS:
-            raise ValueError("too many distinct words in a block")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         return pa.RecordBatch.from_arrays(
@@ -102,12 +104,14 @@ def split_words(docs: DataFrame, path: str) -> DataFrame:
 
     def split(batches):
         vocab = vocabulary(path)
-        number, block = TaskContext.get().partitionId() << 12, _Block()
+        number, block = TaskContext.get().partitionId() * BLOCK_NUMBERS, _Block()
         for rows, texts in slices(batches):
             block.add(rows.column("doc_id").to_pylist(), Texts(texts), vocab)
             if block.size >= BLOCK:
                 yield block.row(number)
                 number, block = number + 1, _Block()
+                if number % BLOCK_NUMBERS == 0:
+                    raise ValueError("a task of over 64 billion code points: split the input in more partitions")
         if block.ids:
             yield block.row(number)
 
@@ -121,7 +125,8 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, id_col: str = "d
     """(id, n_tokens, ids) of every row: ids as the tokenizers library gives them without special tokens around, packed as unsigned little-endian 32-bit.
 
     Null texts are empty (no ids); whole texts of any length; rows that repeat an id each get a row; other columns are not
-    read. Each distinct word is merged once: words of all blocks meet by word, a word at most once from each block, so
+    read. A text may have any number of distinct words and up to MOST_IDS ids, which is what a binary value of Spark can hold.
+    Each distinct word is merged once: words of all blocks meet by word, a word at most once from each block, so
     that no word is hot; its ids go back to their block by position. With `decoded` each row also has what `decode` adds,
     made in the same tasks.
     """
@@ -194,7 +199,7 @@ def _assembled(row: pa.RecordBatch):
         own = sizes[words]
         sums = np.concatenate(([0], np.cumsum(own)))[first[step : end + 1] - first[step]]
         data = flat[ragged(starts[words], own)]
-        if 4 * len(data) >= 1 << 31:
+        if len(data) > MOST_IDS:
             raise ValueError("a text of over half a billion tokens")
         ids = pa.Array.from_buffers(pa.binary(), end - step, [None, pa.py_buffer((sums * 4).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
         yield pa.RecordBatch.from_arrays([doc_ids.slice(step, end - step), pa.array(np.diff(sums)), ids], ["doc_id", "n_tokens", "ids"])
