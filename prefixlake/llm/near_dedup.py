@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +14,14 @@ from prefixlake.llm.spans import Texts, mixed, plain_words, powers, slices
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-#: Document frequencies are kept for this many groups of shingles, whatever the input; 16 bits of a shingle's hash name its group.
-GROUPS = 1 << 16
-#: Weights run from 1 (a shingle in every document) to 1 + IDF_SPAN (in one document).
+#: Weights run from 1 (a shingle in every document) to 1 + IDF_SPAN (in one of COMMON documents or fewer).
 IDF_SPAN = 0.25
+#: IDF tells apart the shingles that stand in more than one of so many documents; those in fewer all have the greatest weight.
+COMMON = 1000
+#: Shingles below the greatest weight, at most: where more stand in one of COMMON documents, the bound of all is raised. 12 bytes each are broadcast.
+MOST_COMMON = 1 << 21
+#: Shingles that a task counts at once, and hash ranges by shuffle partition in which counts meet.
+COUNTED, RANGES = 1 << 22, 8
 #: Of a bucket: members that meet the leaders in one block, leaders held at once, and leaders of the first round (each later one has four times as many).
 BLOCK, HELD, LEADERS = 500, 64, 16
 MAX_ROUNDS = 100
@@ -66,46 +71,111 @@ def shingle_sets(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[byt
     return owners[first], shingles[first], np.diff(np.append(first, len(order))), digests
 
 
-def group_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(48)).astype(np.int64)
+def _packed_counts(shingles: list[np.ndarray], bits: int):
+    """Sorted distinct shingles and their counts, by the range that their first `bits` name: gaps as byte planes, compressed; counts where one is over 1."""
+    keys, counts = np.unique(np.concatenate(shingles), return_counts=True)
+    which = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    pack = zstandard.ZstdCompressor(1).compress
+    names, gaps, numbers = [], [], []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        names.append(int(which[i]))
+        gaps.append(pack(np.ascontiguousarray(np.diff(keys[i:j], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()))
+        numbers.append(pack(counts[i:j].astype("<u4").tobytes()) if counts[i:j].max() > 1 else b"")
+    for k in range(0, len(names), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 4096], pa.int64()), pa.array(gaps[k : k + 4096], pa.binary()), pa.array(numbers[k : k + 4096], pa.binary())], ["range", "gaps", "counts"])
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How many rows of `docs` (text) have a shingle of each of the GROUPS groups, over all rows and whole texts, and the number of rows with any.
+def _unpacked_counts(gaps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    planes = np.frombuffer(unpack(gaps), np.uint8).reshape(8, -1)
+    keys = np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return keys, np.frombuffer(unpack(counts), "<u4").astype(np.int64) if counts else np.ones(len(keys), np.int64)
 
-    Each task adds up its own rows; at most GROUPS + 1 sums come to the driver, however large the input.
+
+def document_frequencies(docs: DataFrame, least: int) -> DataFrame:
+    """(shingle, df): in how many rows of `docs` (text) each shingle stands that stands in `least` or more, exactly, over all rows and whole texts.
+
+    Tasks count COUNTED shingles at a time before the shuffle, so no shingle is hot; counts meet by range of the hash, and
+    there are RANGES ranges for each shuffle partition.
     """
+    bits = max(1, (RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
     def count(batches):
-        total, rows = np.zeros(GROUPS, np.int64), 0
+        held, size = [], 0
         for _, texts in slices(batches):
-            owner, shingles, _, digests = shingle_sets(Texts(texts))
-            total += np.bincount(np.unique(owner * GROUPS + group_of(shingles)) % GROUPS, minlength=GROUPS)
-            rows += sum(map(bool, digests))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["group", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "group long, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(GROUPS, np.int64)
-    n_docs = 0
-    for group, n in sums:
-        if group < 0:
-            n_docs = n
-        else:
-            found[group] = n
-    return found, n_docs
-
-
-def idf_weights(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
-    """Weight of each group of shingles: 1 + IDF_SPAN * ln((n + 1) / (df + 1)) / ln(n + 1).
+            held.append(shingle_sets(Texts(texts))[1])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield from _packed_counts(held, bits)
+                held, size = [], 0
+        if size:
+            yield from _packed_counts(held, bits)
+
+    def add(batches):
+        name, keys, counts = None, [], []
+
+        def total():
+            order = np.argsort(every := np.concatenate(keys), kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.diff(every, prepend=~every[0]))
+            sums = np.add.reduceat(np.concatenate(counts)[order], first)
+            often = sums >= least
+            return pa.RecordBatch.from_arrays([pa.array(every[first][often].view(np.int64)), pa.array(sums[often])], ["shingle", "df"])
+
+        for b in batches:
+            for row in range(b.num_rows):
+                if (found := b.column("range")[row].as_py()) != name:
+                    if keys:
+                        yield total()
+                    name, keys, counts = found, [], []
+                more = _unpacked_counts(b.column("gaps")[row].as_py(), b.column("counts")[row].as_py())
+                keys.append(more[0])
+                counts.append(more[1])
+        if keys:
+            yield total()
+
+    packed = docs.select("text").mapInArrow(count, "range long, gaps binary, counts binary")
+    return packed.repartition("range").sortWithinPartitions("range").mapInArrow(add, "shingle long, df long")
+
+
+class Weights:
+    """Weight of every shingle: 1 + IDF_SPAN * ln(n / df) / ln(n / cut), where a df below cut counts as cut = n / COMMON. Arrays only, so that it goes to tasks as it is.
 
     The span is narrow on purpose: with the plain logarithm the common part of a large group of near copies would weigh so
-    little that its own members fell below the threshold.
+    little that its own members fell below the threshold. The cut makes weights the same at every size of the corpus.
     """
-    return (1 + IDF_SPAN * np.log((n_docs + 1) / (np.minimum(frequencies, n_docs) + 1)) / np.log(n_docs + 2)).astype(np.float32)
 
+    def __init__(self, shingles: np.ndarray, df: np.ndarray, n_docs: int, cut: float):
+        order = np.argsort(shingles)
+        self.keys = shingles[order]
+        span = max(np.log(max(n_docs, 1) / cut), 1e-9)
+        own = 1 + IDF_SPAN * np.log(max(n_docs, 1) / np.maximum(df, cut)) / span
+        self.values = np.append(own[order], 1 + IDF_SPAN).astype(np.float32)
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(shingles), self.values[-1])
+        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        at[self.keys[at] != shingles] = len(self.keys)
+        return self.values[at]
+
+
+def idf_weights(docs: DataFrame) -> Weights:
+    """Weights by document frequency among the rows of `docs` (text).
 
-def weighted_samples(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n_texts: int, count: int) -> np.ndarray:
+    Only shingles in more than one of COMMON rows come to the driver, at most COMMON for each shingle of a mean document, and never more than MOST_COMMON.
+    """
+    n_docs = docs.count()
+    cut = max(n_docs / COMMON, 1.0)
+    found = written(document_frequencies(docs, int(cut) + 1))
+    while found.filter(F.col("df") > cut).count() > MOST_COMMON:
+        cut *= 1.25
+    rows = found.filter(F.col("df") > cut).toArrow()
+    return Weights(rows.column("shingle").to_numpy().view(np.uint64), rows.column("df").to_numpy(), n_docs, cut)
+
+
+def weighted_samples(owner: np.ndarray, shingles: np.ndarray, weights: Weights, n_texts: int, count: int) -> np.ndarray:
     """`count` consistent samples of each text's weighted shingles, as hashes of (shingle, level): [text, sample]; 0 for texts without any.
 
     For sample k a shingle s draws r, c ~ Gamma(2, 1) and b ~ U(0, 1) from its hash; with t = floor(ln w / r + b) the shingle
@@ -143,14 +213,14 @@ def weighted_samples(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarra
     return out
 
 
-def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """(doc_id, digest, bands) for each row of `docs`: one key for each band."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # GROUPS numbers of 4 bytes
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # MOST_COMMON shingles at most
 
     def sign(batches):
         for rows, texts in slices(batches):
             owner, shingles, count, digests = shingle_sets(Texts(texts))
-            found = weighted_samples(owner, shingles, sent.value[group_of(shingles)] * count, len(texts), BANDS * ROWS)
+            found = weighted_samples(owner, shingles, sent.value.of(shingles) * count, len(texts), BANDS * ROWS)
             keys = np.zeros((len(texts), BANDS), np.uint64)
             for k in range(ROWS):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + found[:, k::ROWS])
@@ -161,53 +231,23 @@ def signatures(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, digest binary, bands array<long>")
 
 
-def weighted_jaccard(left: list[str], right: list[str], weights: np.ndarray) -> np.ndarray:
-    """Sum of lesser weights over sum of greater ones, for each pair of texts."""
-    sides = []
-    for texts in (left, right):
-        owner, shingles, count, _ = shingle_sets(Texts(texts))
-        sides.append((owner, shingles, weights[group_of(shingles)].astype(np.float64) * count))
-    owner, shingles, weight = (np.concatenate(x) for x in zip(*sides, strict=True))
-    order = np.lexsort((shingles, owner))
-    owner, shingles, weight = owner[order], shingles[order], weight[order]
-    twice = np.flatnonzero((owner[1:] == owner[:-1]) & (shingles[1:] == shingles[:-1]))
-    both = np.bincount(owner[twice], np.minimum(weight[twice], weight[twice + 1]), len(left))
-    total = np.bincount(owner, weight, len(left))
-    return both / np.maximum(total - both, 1e-12)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """Those (a, b) whose texts have a weighted Jaccard similarity of `threshold` or more; `texts` has (rep, text) once for each rep."""
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)
-    first = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = first.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-
-    def compare(batches):
-        for rows, left in slices(batches, "text_a", 1 << 19):
-            right = rows.column("text_b").to_pylist()
-            near = weighted_jaccard(left, right, sent.value) >= threshold
-            yield pa.RecordBatch.from_arrays([rows.column("a").filter(pa.array(near)), rows.column("b").filter(pa.array(near))], ["a", "b"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links lead to, for every node of `links` (a, b).
 
     Rounds of taking the least label among neighbours and then the label's own label, each written to the shared folder;
-    labels move at least twice as far each round, so star-like groups take two or three.
+    labels move at least twice as far each round, so star-like groups take two or three. A node with many links, and a
+    label with many nodes, are met by broadcast.
     """
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count(F.lit(1)).alias("n")))
     for _ in range(MAX_ROUNDS):
-        near = edges.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near.hint("merge"), "node").select("node", "label", F.least("label", "near").alias("low"))
-        step = written(step)
-        jump = step.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        moved = written(step.join(jump.hint("merge"), "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("now"), "label"))
-        labels = moved.select("node", F.col("now").alias("label"))
+        near = join_counted(edges, labels.withColumnRenamed("node", "b"), "b", "n").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = written(labels.join(near.hint("merge"), "node").select("node", "label", "n", F.least("label", "near").alias("low")))
+        jump = step.groupBy("low").agg(F.count(F.lit(1)).alias("rows")).join(step.select(F.col("node").alias("low"), F.col("low").alias("far")).hint("merge"), "low")
+        moved = written(join_counted(step, written(jump), "low", "rows").select("node", F.col("far").alias("now"), "label", "n"))
+        labels = moved.select("node", F.col("now").alias("label"), "n")
         if not moved.filter("now <> label").limit(1).count():
-            return labels
+            return labels.select("node", "label")
     raise RuntimeError("components did not settle")
 
 
@@ -221,8 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     is a class of its own; a null id counts as the least number. Rows that repeat an id and a text: one is kept.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).alias("text"))
-    frequencies, n_docs = document_frequencies(rows)
-    weights = idf_weights(frequencies, n_docs)
+    weights = idf_weights(rows)
     signed = written(signatures(rows, weights).withColumn("row", F.monotonically_increasing_id()))
     wordless = signed.filter(F.length("digest") == 0)
     worded = signed.filter(F.length("digest") > 0)
@@ -240,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     return out.unionByName(alone).select(*(F.when(F.col(c) != least, F.col(c)).alias(n) for c, n in (("doc_id", id_col), ("class_id", "class_id"))), "class_size", "kept")
 
 
-def _links(rows: DataFrame, signed: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _links(rows: DataFrame, signed: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """Verified links (a, b) between texts, named by the row number of one of their documents."""
     keys = written(texts.select("rep", F.explode("bands").alias("key")))
     buckets = written(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -249,7 +288,7 @@ def _links(rows: DataFrame, signed: DataFrame, texts: DataFrame, weights: np.nda
     named = texts.select("rep", "rep_id", "digest")
     wanted = led.select(F.col("a").alias("rep")).union(led.select("b")).distinct()
     needed = written(_texts_of(rows, named.join(wanted.hint("merge"), "rep", "left_semi")))
-    links = new = written(verified(led, needed, weights, threshold))
+    links = new = written(_compared(_led_units(led), needed, weights, threshold))
     fame = members.groupBy("rep").agg(F.sum("n").alias("fame"))
     left = members.filter("rep <> leader").select("key", "rep").join(fame.hint("merge"), "rep")
     left, width = written(_unsettled(left.withColumn("label", F.col("rep")), new)), LEADERS
@@ -262,6 +301,17 @@ def _links(rows: DataFrame, signed: DataFrame, texts: DataFrame, weights: np.nda
     return links
 
 
+def _led_units(led: DataFrame) -> DataFrame:
+    """(unit, lead, rep, label): each leader `a` with BLOCK of its rows `b`, all with labels of their own."""
+    sizes = written(led.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    unit = F.xxhash64("a", "salt").alias("unit")
+    salts = F.ceil(F.col("n") / BLOCK)
+    rows = join_counted(led, sizes, "a", "n").withColumn("salt", F.pmod(F.xxhash64("b"), salts))
+    rows = written(rows.select(unit, F.lit(False).alias("lead"), F.col("b").alias("rep"), F.col("b").alias("label")))
+    heads = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select(unit, F.lit(True).alias("lead"), F.col("a").alias("rep"), F.col("a").alias("label"))
+    return rows.union(heads.join(rows.select("unit").distinct(), "unit", "left_semi"))
+
+
 def _unsettled(left: DataFrame, new: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """`left` (key, rep, fame, label) with labels joined by the `new` links, without the rows that have met all others of their bucket (`done`), and without
     the buckets whose rows have one label: none of their pairs can join more."""
@@ -276,8 +326,8 @@ def _unsettled(left: DataFrame, new: DataFrame, done: DataFrame | None = None) -
     if done is not None:
         left = left.join(done.select("key", "rep").hint("merge"), ["key", "rep"], "left_anti")
     left = written(left)
-    mixed_up = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return left.join(mixed_up, "key", "left_semi")
+    mixed_up = written(left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high"))
+    return join_counted(left, mixed_up, "key", "n").select("key", "rep", "fame", "label")
 
 
 def _leaders(left: DataFrame, links: DataFrame, width: int) -> DataFrame:
@@ -307,7 +357,7 @@ def _units(left: DataFrame, leaders: DataFrame, width: int) -> DataFrame:
     return rows.union(heads.join(rows.select("unit").distinct(), "unit", "left_semi"))
 
 
-def _compared(units: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _compared(units: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """Verified links (a, b) of the leaders of each unit with its rows of other labels."""
     sent = units.sparkSession.sparkContext.broadcast(weights)
 
@@ -315,7 +365,7 @@ def _compared(units: DataFrame, texts: DataFrame, weights: np.ndarray, threshold
         unit, held, known, heads = None, [], None, []
         for rows, texts in slices(batches):
             owner, shingles, count, _ = shingle_sets(Texts(texts))
-            weight = sent.value[group_of(shingles)].astype(np.float64) * count
+            weight = sent.value.of(shingles).astype(np.float64) * count
             units, reps, labels = (rows.column(c).to_numpy() for c in ("unit", "rep", "label"))
             lead = rows.column("lead").to_numpy(zero_copy_only=False)
             ends = np.searchsorted(owner, np.arange(len(reps) + 1))

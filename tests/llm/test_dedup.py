@@ -1,6 +1,7 @@
 """Operators 3 and 9 against brute-force versions."""
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -146,12 +147,44 @@ def test_samples_estimate_similarity():
     assert abs((found[0] == found[1]).mean() - want) < 0.05
 
 
+def shingles_of(text):
+    """Distinct runs of five words with their counts, as tuples."""
+    words = words_of(text)
+    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else Counter([tuple(words)] if words else [])
+
+
+@pytest.mark.parametrize("counted", [1 << 22, 500])
+def test_document_frequencies(spark, monkeypatch, counted):
+    """Counts of all shingles equal those of a brute-force count; weights follow from them."""
+    monkeypatch.setattr(near_dedup, "COUNTED", counted)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").unionByName(spark.createDataFrame([(None,), ("",), ("a b",), ("same words over and over again",)] * 30, "text string"))
+    texts = [r.text for r in docs.collect()]
+    df = Counter(x for t in texts for x in shingles_of(t))
+    found = near_dedup.document_frequencies(docs, 1).collect()
+    assert len({r.shingle for r in found}) == len(found) == len(df)
+    assert Counter(r.df for r in found) == Counter(df.values())
+    least = near_dedup.document_frequencies(docs, 3).collect()
+    assert Counter(r.df for r in least) == Counter(n for n in df.values() if n >= 3)
+    weights = near_dedup.idf_weights(docs)
+    for text in texts:
+        _, shingles, count, _ = near_dedup.shingle_sets(Texts([text or ""]))
+        n = len(texts)
+        want = sorted((1 + 0.25 * np.log(n / df[x]) / np.log(n), c) for x, c in shingles_of(text).items())
+        assert np.allclose(sorted(zip(weights.of(shingles).tolist(), count.tolist(), strict=True)), want) if want else not len(shingles)
+
+
+def similarity(one, two, weights):
+    x, y = ({s: w for s, w in zip(s.tolist(), (weights.of(s) * c).tolist(), strict=True)} for _, s, c, _ in (near_dedup.shingle_sets(Texts([t])) for t in (one, two)))
+    low = sum(min(w, y[s]) for s, w in x.items() if s in y)
+    return low / (sum(x.values()) + sum(y.values()) - low)
+
+
 def brute_classes(docs, weights, threshold=0.8):
     """Classes by comparing all pairs."""
     sets = {}
     for doc, text in docs:
         owner, shingles, count, _ = near_dedup.shingle_sets(Texts([text or ""]))
-        sets[doc] = dict(zip(shingles.tolist(), (weights[near_dedup.group_of(shingles)].astype(float) * count).tolist(), strict=True))
+        sets[doc] = dict(zip(shingles.tolist(), (weights.of(shingles).astype(float) * count).tolist(), strict=True))
     label = {d: d for d in sets}
 
     def find(x):
@@ -180,9 +213,7 @@ def test_near_duplicates(spark):
         docs.append((1000 + k, " ".join(words)))
     docs += [(2000, None), (2001, ""), (2002, "!!! ..."), (2003, "one two"), (2004, "One, two."), (2005, "a b c d e"), (2006, "a b c d e")]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, label int")
-    frequencies, n = near_dedup.document_frequencies(frame)
-    assert n == sum(bool(words_of(t)) for _, t in docs)
-    want = brute_classes(docs, near_dedup.idf_weights(frequencies, n))
+    want = brute_classes(docs, near_dedup.idf_weights(frame))
     rows = near_dedup.near_duplicates(frame).collect()
     got = {r.doc_id: r.class_id for r in rows}
     assert len(rows) == len(docs) and got == want
@@ -206,9 +237,9 @@ def test_original_after_its_copies(spark):
     original = [f"o{i}" for i in range(300)]
     docs = [(k, edited(original, rng, 0.018, f"c{k}")) for k in range(700)] + [(9999, " ".join(original))]
     frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    weights = near_dedup.idf_weights(*near_dedup.document_frequencies(frame))
-    to_original = near_dedup.weighted_jaccard([t for _, t in docs[:-1]], [docs[-1][1]] * 700, weights)
-    to_first = near_dedup.weighted_jaccard([t for _, t in docs[1:-1]], [docs[0][1]] * 699, weights)
+    weights = near_dedup.idf_weights(frame)
+    to_original = np.array([similarity(t, docs[-1][1], weights) for _, t in docs[:-1]])
+    to_first = np.array([similarity(t, docs[0][1], weights) for _, t in docs[1:-1]])
     assert (to_original >= 0.8).mean() > 0.95 and (to_first >= 0.8).mean() < 0.05
     rows = near_dedup.near_duplicates(frame).collect()
     sizes = np.unique([r.class_id for r in rows], return_counts=True)[1]
@@ -230,7 +261,7 @@ def test_all_pairs_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 20)
     monkeypatch.setattr(near_dedup, "HELD", 4)
     monkeypatch.setattr(near_dedup, "LEADERS", 6)
-    want = brute_classes(docs, near_dedup.idf_weights(*near_dedup.document_frequencies(frame)))
+    want = brute_classes(docs, near_dedup.idf_weights(frame))
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame).collect()} == want
     assert 8 < len(set(want.values())) < 30
 
