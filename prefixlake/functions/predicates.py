@@ -31,14 +31,18 @@ def register(name: str) -> Callable[[Filter], Filter]:
     return keep
 
 
-def accepted(df: DataFrame, name: str | Filter | None) -> DataFrame:
-    """Rows that a filter accepts; no filter accepts all; an unknown name is an error."""
+def condition(df: DataFrame, name: str | Filter | None) -> Column:
+    """What a filter says of each row, never null; no filter accepts all; an unknown name is an error."""
     if name is None:
-        return df
+        return F.lit(True)
     if isinstance(name, str) and name not in FILTERS:
         raise KeyError(f"no filter {name!r}; known: {sorted(FILTERS)}")
-    f = FILTERS[name] if isinstance(name, str) else name
-    return df.filter(yes(f(df)))
+    return yes((FILTERS[name] if isinstance(name, str) else name)(df))
+
+
+def accepted(df: DataFrame, name: str | Filter | None) -> DataFrame:
+    """Rows that a filter accepts."""
+    return df if name is None else df.filter(condition(df, name))
 
 
 def yes(c: Column) -> Column:

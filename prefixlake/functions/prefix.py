@@ -50,9 +50,9 @@ def format_prefix(afi: Column, plen: Column, bits: Column) -> Column:
     return F.concat(F.when(afi == 1, v4).otherwise(v6), F.lit("/"), plen.cast("string"))
 
 
-def ancestors(bits: Column, plen: Column, lengths: list[int] | None = None) -> Column:
-    """All prefixes that cover a prefix, itself included; only of the given lengths if any are."""
-    steps = F.sequence(F.lit(0), plen.cast("int")) if lengths is None else F.filter(F.array(*(F.lit(int(n)) for n in lengths)).cast("array<int>"), lambda n: n <= plen)
+def ancestors(bits: Column, plen: Column, lengths: Column | None = None) -> Column:
+    """All prefixes that cover a prefix, itself included; only of the given lengths (array of int) if any are."""
+    steps = F.sequence(F.lit(0), plen.cast("int")) if lengths is None else F.filter(lengths, lambda n: n <= plen)
     return F.transform(steps, lambda n: F.when(n == 0, F.lit("")).otherwise(F.substr(bits, F.lit(1), n)))
 
 

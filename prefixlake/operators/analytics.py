@@ -60,3 +60,17 @@ def without_repeats(rows: DataFrame, label: str, group: list[str], order: list[s
     before = F.lag(label).over(Window.partitionBy(*group).orderBy(*order))
     first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
     return rows.withColumn(f"shown_{label}", F.when(first | ~F.col(label).eqNullSafe(before), F.col(label)))
+
+
+def in_order(df: DataFrame, within: list[str], head: list, order: list) -> DataFrame:
+    """`df` with place, from 1, in the order of `head` and then `order` within each of `within`.
+
+    Rows are numbered within each value of `head` (columns with few values that lead the order, as a family and the first bits
+    of a prefix), and shifted by how many stand before it: no task gets a whole list unless its head is one value.
+    """
+    names = [f"__h{k}" for k in range(len(head))]
+    rows = df.withColumns(dict(zip(names, head, strict=True)))
+    sizes = rows.groupBy(*within, *names).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*within).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = rows.withColumn("place", F.row_number().over(Window.partitionBy(*within, *names).orderBy(*order)))
+    return own.join(before, [*within, *names]).withColumn("place", (F.col("place") + F.col("__before")).cast("bigint")).drop("__before", *names)

@@ -1,12 +1,12 @@
 """Counters and gauges from logs, and their text form."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefixlake.operators.rib import KEY
 
 PREFIX = "prefixlake"
-USER_PREFIX = "roto_user_defined_"
+USER_PREFIX = "user_defined_"
 SIZES = (1, 10, 100, 1000, 10000)
 
 
@@ -22,15 +22,17 @@ def gauges(events: DataFrame) -> DataFrame:
 
 def rib_counters(log: DataFrame) -> DataFrame:
     """One row of counts over a log: announcements of new keys, further announcements (a withdrawal of a known key counts too), withdrawals, those of keys never announced, keys, prefixes, and announced less withdrawn, which may be negative."""
-    order = Window.partitionBy(*KEY).orderBy("seq")
-    rows = log.filter(F.col("op").isin("announce", "withdraw")).withColumn("known", F.coalesce(F.max((F.col("op") == "announce").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0)
-    is_new = (F.col("op") == "announce") & ~F.col("known")
-    withdrawn = F.col("op") == "withdraw"
-    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
-    whole = rows.agg(n(is_new).alias("announced_new"), n(F.col("known")).alias("modified"), n(withdrawn).alias("withdrawn"), n(withdrawn & ~F.col("known")).alias("withdrawn_unknown"), (n(is_new) - n(withdrawn)).alias("announced_balance"))
-    keys = log.filter("op = 'announce'").select(*KEY).distinct()
-    prefixes = keys.select("safi", "afi", "bits").distinct().agg(F.count(F.lit(1)).alias("unique_prefixes"))
-    return whole.join(F.broadcast(keys.agg(F.count(F.lit(1)).alias("items")))).join(F.broadcast(prefixes))
+    rows = log.filter(F.col("op").isin("announce", "withdraw"))
+    keys = rows.groupBy(*KEY).agg(F.min(F.when(F.col("op") == "announce", F.col("seq"))).alias("first_seq"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("op") == "withdraw").alias("gone"))
+    early = rows.filter("op = 'withdraw'").select(*KEY, "seq").join(keys.select(*KEY, "first_seq"), list(KEY)).filter("first_seq IS NULL OR seq < first_seq").agg(F.count(F.lit(1)).alias("early"))
+    known = F.col("first_seq").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    whole = keys.agg(F.count_if(known).alias("announced_new"), total(F.col("n")).alias("n"), total(F.col("gone")).alias("withdrawn"))
+    prefixes = keys.filter(known).select("safi", "afi", "bits").distinct().agg(F.count(F.lit(1)).alias("unique_prefixes"))
+    return whole.join(F.broadcast(early)).join(F.broadcast(prefixes)).select(
+        "announced_new", (F.col("n") - F.col("announced_new") - F.col("early")).alias("modified"), "withdrawn", F.col("early").alias("withdrawn_unknown"),
+        (F.col("announced_new") - F.col("withdrawn")).alias("announced_balance"), F.col("announced_new").alias("items"), "unique_prefixes",
+    )
 
 
 def last_delays(log: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefixlake.functions.prefix import is_multicast
-from prefixlake.operators.covering import covering_join, lengths_of
+from prefixlake.operators.covering import covering_join
 
 
 def current_vrps(vrp_log: DataFrame, legacy_reset: bool = False) -> DataFrame:
@@ -27,13 +27,23 @@ def validate(routes: DataFrame, vrps: DataFrame) -> DataFrame:
     Covered: some VRP covers the prefix. Valid: one of those has the route's origin and allows its length. Each distinct prefix
     and origin is met once with the VRPs by equality on its ancestors, and both answers are partial maxima.
     """
+    return _validated(routes, {"rov": vrps})
+
+
+def _validated(routes: DataFrame, by_list: dict[str, DataFrame]) -> DataFrame:
+    """`validate` against several lists of VRPs in one join; each status is in the column that names its list."""
     checked = routes.select("afi", "plen", "bits", "origin_asn").distinct()
-    facts = covering_join(checked.filter("origin_asn IS NOT NULL"), vrps.select("afi", "plen", "bits", "asn", "maxlen"), lengths=lengths_of(vrps))
-    found = facts.groupBy("afi", "plen", "bits", "origin_asn").agg(F.max((F.col("outer_asn") == F.col("origin_asn")) & (F.col("plen") <= F.col("outer_maxlen"))).alias("valid"))
+    vrps = None
+    for name, held in by_list.items():
+        held = held.select("afi", "plen", "bits", "asn", "maxlen", F.lit(name).alias("list"))
+        vrps = held if vrps is None else vrps.unionByName(held)
+    facts = covering_join(checked.filter("origin_asn IS NOT NULL"), vrps)
+    valid = (F.col("outer_asn") == F.col("origin_asn")) & (F.col("plen") <= F.col("outer_maxlen"))
+    found = facts.groupBy("afi", "plen", "bits", "origin_asn").agg(*(F.max(F.when(F.col("outer_list") == n, valid)).alias(f"__{n}") for n in by_list))
     joined = checked.withColumn("__origin", F.coalesce("origin_asn", F.lit(-1))).join(found.withColumnRenamed("origin_asn", "__origin"), ["afi", "plen", "bits", "__origin"], "left")
     none = F.col("origin_asn").isNull() | is_multicast(F.col("afi"), F.col("bits"))
-    status = F.when(none, "notChecked").when(F.col("valid").isNull(), "notFound").when(F.col("valid"), "valid").otherwise("invalid")
-    return joined.select("afi", "plen", "bits", "origin_asn", status.alias("rov"))
+    status = lambda c: F.when(none, "notChecked").when(F.col(c).isNull(), "notFound").when(F.col(c), "valid").otherwise("invalid")
+    return joined.select("afi", "plen", "bits", "origin_asn", *(status(f"__{n}").alias(n) for n in by_list))
 
 
 def with_rov(rib: DataFrame, vrps: DataFrame) -> DataFrame:
@@ -56,9 +66,8 @@ def affected(rib: DataFrame, changed: DataFrame) -> DataFrame:
 def status_updates(rib: DataFrame, before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
     """A row for each affected route, changed or not: previous_status, current_status, has_changed."""
     rows = affected(rib, changed)
-    old, new = (validate(rows, v).select("afi", "plen", "bits", "origin_asn", F.col("rov").alias(n)) for v, n in ((before, "previous_status"), (after, "current_status")))
-    key = ["afi", "plen", "bits", "origin_asn"]
-    return rows.join(old, key).join(new, key).withColumn("has_changed", F.col("previous_status") != F.col("current_status"))
+    both = _validated(rows, {"previous_status": before, "current_status": after})
+    return rows.join(both, ["afi", "plen", "bits", "origin_asn"]).withColumn("has_changed", F.col("previous_status") != F.col("current_status"))
 
 
 def current_set(log: DataFrame, key: list[str]) -> DataFrame:

@@ -14,7 +14,9 @@ from prefixlake.plans.fixtures import VIEWS, view
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: A prefix of the derived tables that has ancestors and descendants: base address 3, first 16 bits.
-BITS = format((3 * 2654435761) % 4294967296, "032b")[:16]
+BITS = "1" + format((3 * 2654435761) % 2147483648, "031b")[:15]
+#: One of IPv6: base address 4, first 24 bits.
+BITS6 = "0010000000000001" + format((4 * 2654435761) % 4294967296, "032b")[:8]
 #: Views that stand for tables which operators make.
 MADE = f"""{VIEWS},
 updates AS (SELECT * FROM route_log WHERE op IN ('announce', 'withdraw')),
@@ -165,8 +167,13 @@ def searched(name: str, condition: str, flt: search.QueryFilter):
 
     @query(name, rows + NODE.format(rows))
     def _(spark, d):
-        table = rov.with_rov(live_of(spark, d), view(spark, d, "vrps")) if flt.rov_status else live_of(spark, d)
-        return search.search_routes(table, view(spark, d, "ingress").filter("ingress_id <> 2"), 1, BITS[:12], flt, ("moreSpecifics", "lessSpecifics")).select("section", "bits", "ingress_id")
+        known = view(spark, d, "ingress").filter("ingress_id <> 2")
+        return search.search_routes(live_of(spark, d), known, 1, BITS[:12], flt, ("moreSpecifics", "lessSpecifics"), view(spark, d, "vrps") if flt.rov_status else None).select("section", "bits", "ingress_id")
+
+
+@query("J04_ipv6_search", f"SELECT CASE WHEN plen = 24 THEN 'data' ELSE 'moreSpecifics' END AS section, bits, ingress_id FROM live WHERE safi = 'unicast' AND starts_with(bits, '{BITS6}') UNION ALL SELECT 'data', '{BITS6}', NULL WHERE NOT EXISTS (SELECT 1 FROM live WHERE safi = 'unicast' AND bits = '{BITS6}')")
+def _(spark, d):
+    return search.search_routes(live_of(spark, d), view(spark, d, "ingress"), 2, BITS6, include=("moreSpecifics", "lessSpecifics")).select("section", "bits", "ingress_id")
 
 
 COMMUNITY, LARGE = 4227858432 + 2, (64512, 1, 0)
@@ -189,7 +196,7 @@ def _(spark, d):
     return search.search_routes(live_of(spark, d), view(spark, d, "ingress"), 1, BITS, search.QueryFilter(origin_asn=1), ("moreSpecifics", "lessSpecifics")).select("section", "bits", "ingress_id")
 
 
-@query("F20_not_withdrawn", "SELECT count(*) AS n FROM live WHERE safi = 'unicast'")
+@query("F20_not_withdrawn", "SELECT count(*) AS n FROM live WHERE safi = 'unicast' AND afi = 1")
 def _(spark, d):
     found = search.all_routes(rib_of(spark, d), view(spark, d, "ingress"), 1)
     return found.filter("ingress_id IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
@@ -224,8 +231,20 @@ def _(spark, d):
 
 @query("K09_search_json")
 def _(spark, d):
-    found = search.search_routes(live_of(spark, d), view(spark, d, "ingress"), 1, BITS[:12], include=("moreSpecifics",))
-    return search.result_json(found, format_prefix(F.col("afi"), F.col("plen"), F.col("bits")), F.struct("ingress_id", "origin_asn"))
+    found = search.search_routes(live_of(spark, d), view(spark, d, "ingress"), 1, BITS[:12], include=("moreSpecifics",), vrps=view(spark, d, "vrps"))
+    return search.result_json(found, format_prefix(F.col("afi"), F.col("plen"), F.col("bits")), search.route_json(found))
+
+
+@query("P06_route_json", "SELECT l.bits, l.ingress_id, concat('{\"ingress_id\":', CAST(l.ingress_id AS VARCHAR), CASE WHEN l.origin_asn IS NULL THEN '' ELSE concat(',\"origin_asn\":', CAST(l.origin_asn AS VARCHAR)) END, ',\"rpki\":{\"rov\":\"', CASE WHEN safi = 'unicast' THEN rov ELSE 'notChecked' END, '\"},\"pathAttributes\":{\"asPath\":[', replace(hops_text, ' ', ','), '],\"nextHop\":\"', next_hop, '\",\"communities\":[', replace(communities_text, ' ', ','), ']', CASE WHEN otc IS NULL THEN '' ELSE concat(',\"otc\":', CAST(otc AS VARCHAR)) END, '}}') AS value FROM live l JOIN rov v ON v.bits = l.bits AND v.origin_asn IS NOT DISTINCT FROM l.origin_asn")
+def _(spark, d):
+    rows = rov.with_rov(live_of(spark, d), view(spark, d, "vrps")).drop("large_communities")
+    return rows.select("bits", "ingress_id", F.to_json(search.route_json(rows)).alias("value"))
+
+
+@query("K11_error_envelope", "SELECT seq, concat('{\"data\":null,\"error\":{\"status\":', CASE WHEN seq % 2 = 0 THEN '400' ELSE '404' END, ',\"message\":\"no ', bits, '\"}}') AS value FROM updates")
+def _(spark, d):
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    return rows.select("seq", search.error_json(F.when(F.col("seq") % 2 == 0, 400).otherwise(404), F.concat(F.lit("no "), "bits")).alias("value"))
 
 
 # Ingresses.
@@ -272,9 +291,9 @@ def _(spark, d):
     return ingress.find_routers(i, i.select(F.col("ingress_id").alias("query_id"), "parent_ingress", "remote_addr")).select("query_id", "ingress_id")
 
 
-@query("S05_first_peer_config", "SELECT DISTINCT l.bits, CASE WHEN starts_with(l.bits, '0') THEN 1 ELSE 2 END AS peer_id, CASE WHEN starts_with(l.bits, '0') THEN true ELSE coalesce(l.origin_asn = 64512, false) END AS admitted FROM live l")
+@query("S05_first_peer_config", "SELECT DISTINCT l.bits, CASE WHEN starts_with(l.bits, '11') THEN 1 ELSE 2 END AS peer_id, CASE WHEN starts_with(l.bits, '11') THEN true ELSE coalesce(l.origin_asn = 64512, false) END AS admitted FROM live l WHERE afi = 1")
 def _(spark, d):
-    configs = spark.sql("SELECT * FROM VALUES (1, 1S, 1S, '0', 1, array()), (2, 1S, 0S, '', 2, array(64512L)), (3, 1S, 1S, '0', 3, array(1L)) AS t(peer_id, afi, plen, bits, place, asns)").withColumn("asns", F.col("asns").cast("array<bigint>"))
+    configs = spark.sql("SELECT * FROM VALUES (1, 1S, 2S, '11', 1, array()), (2, 1S, 0S, '', 2, array(64512L)), (3, 1S, 2S, '11', 3, array(1L)) AS t(peer_id, afi, plen, bits, place, asns)").withColumn("asns", F.col("asns").cast("array<bigint>"))
     rows = live_of(spark, d).select("afi", "plen", "bits", F.col("origin_asn").alias("asn")).distinct().withColumn("address_id", F.concat_ws("/", "bits", "asn"))
     return ingress.first_matching_peer(rows, configs).select(F.split("address_id", "/")[0].alias("bits"), "peer_id", "admitted").distinct()
 
@@ -448,8 +467,10 @@ scalar("X41_well_known", "concat(' ', communities_text, ' ') LIKE '% 4294967041
 scalar("A21_hop_count", "CAST(length(hops_text) - length(replace(hops_text, ' ', '')) + 1 AS INT)", lambda r: F.size(r["hops"]))
 scalar("A19_update_counts", "CAST(CASE WHEN op = 'announce' THEN 1 ELSE 0 END AS BIGINT)", lambda r: p.announcements_count(F.when(r["op"] == "announce", F.array("bits"))))
 scalar("is_multicast", "starts_with(bits, '1110')", lambda r: is_multicast(r["afi"], r["bits"]))
-OCTET = "CAST(list_sum([CASE WHEN substring(rpad(bits, 32, '0'), {} + i, 1) = '1' THEN 1 << (8 - i) ELSE 0 END FOR i IN [1, 2, 3, 4, 5, 6, 7, 8]]) AS VARCHAR)"
-scalar("X11_fmt_prefix", "concat(" + ", '.', ".join(OCTET.format(8 * k) for k in range(4)) + ", '/', CAST(plen AS VARCHAR))", lambda r: format_prefix(r["afi"], r["plen"], r["bits"]))
+GROUP = "list_sum([CASE WHEN substring(rpad(bits, 128, '0'), {} + i, 1) = '1' THEN 1 << ({} - i) ELSE 0 END FOR i IN range(1, {} + 1)])"
+V4 = ", '.', ".join(f"CAST({GROUP.format(8 * k, 8, 8)} AS VARCHAR)" for k in range(4))
+V6 = ", ':', ".join(f"lower(to_hex(CAST({GROUP.format(16 * k, 16, 16)} AS BIGINT)))" for k in range(8))
+scalar("X11_fmt_prefix", f"concat(CASE WHEN afi = 1 THEN concat({V4}) ELSE concat({V6}) END, '/', CAST(plen AS VARCHAR))", lambda r: format_prefix(r["afi"], r["plen"], r["bits"]))
 
 
 # Comparisons and overviews.
@@ -733,18 +754,24 @@ def _(spark, d):
     return rows.groupBy("ingress_id").agg(F.count_if(F.col("op") == "announce").alias("announcements"), F.count_if(F.col("op") == "withdraw").alias("withdrawals"))
 
 
+@query("A15_topic_counts", "SELECT topic, count(*) FILTER (seq % 7 <> 0) AS published, count(*) FILTER (seq % 7 = 0) AS failed FROM (SELECT seq, concat('prefixlake/', CASE WHEN origin_asn = 64512 THEN 'asn' ELSE 'origin' END) AS topic FROM updates WHERE origin_asn IN (64512, 64513)) GROUP BY 1")
+def _(spark, d):
+    rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
+    kind = F.when(F.col("seq") % 7 == 0, "failed").otherwise("published")
+    topic = F.concat(F.lit("prefixlake/"), F.when(F.col("origin_asn") == 64512, "asn").otherwise("origin"))
+    return metrics.event_counts(rows.filter(F.col("origin_asn").isin(64512, 64513)).select(topic.alias("topic"), kind.alias("kind")), "topic", ["published", "failed"])
+
+
 @query("A24_rtr_session", "SELECT max_by(ingress_id, seq) AS session_id, max(seq) AS serial, CAST(sum(plen) AS BIGINT) AS bytes_read, CAST(sum(length(bits)) AS BIGINT) AS bytes_written FROM route_log")
 def _(spark, d):
     rows = log_of(spark, d).select("seq", F.col("ingress_id").alias("session_id"), F.col("seq").alias("serial"), "received_at", F.col("plen").cast("bigint").alias("n_read"), F.length("bits").cast("bigint").alias("n_written"))
     return metrics.rtr_session(rows, F.current_timestamp()).select("session_id", "serial", "bytes_read", "bytes_written")
 
 
-@query("O07_families_in_order", "SELECT safi, CAST(afi AS INT) AS afi, bits, row_number() OVER (PARTITION BY safi ORDER BY afi, bits, ingress_id) AS place FROM live WHERE plen = 8")
+@query("O07_families_in_order", "SELECT safi, CAST(afi AS INT) AS afi, bits, ingress_id, row_number() OVER (PARTITION BY safi ORDER BY afi, bits, ingress_id) AS place FROM live")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("safi").orderBy("afi", "bits", "ingress_id")
-    return live_of(spark, d).filter("plen = 8").select("safi", F.col("afi").cast("int").alias("afi"), "bits", F.row_number().over(order).cast("bigint").alias("place"))
+    head = [F.col("afi"), F.substring("bits", 1, 12)]
+    return analytics.in_order(live_of(spark, d), ["safi"], head, ["bits", "ingress_id"]).select("safi", F.col("afi").cast("int").alias("afi"), "bits", "ingress_id", "place")
 
 
 @query("U04_union_sources", "SELECT source, count(*) AS n FROM (SELECT 'a' AS source FROM updates WHERE seq % 2 = 0 UNION ALL SELECT 'b' FROM updates WHERE seq % 2 = 1) GROUP BY 1")
