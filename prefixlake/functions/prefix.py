@@ -43,10 +43,15 @@ def parse_prefix(text: Column) -> Column:
 
 
 def format_prefix(afi: Column, plen: Column, bits: Column) -> Column:
-    """Text of a prefix; IPv6 in eight groups without shortening."""
+    """Text of a prefix; in IPv6 the first of the longest runs of two or more zero groups is '::'."""
     part = lambda base, width: lambda i: F.lower(F.conv(F.substr(F.rpad(bits, 128, "0"), i * width + 1, F.lit(width)), 2, base))
     v4 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), part(10, 8)), ".")
-    v6 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), part(16, 16)), ":")
+    full = F.concat(F.lit(":"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), part(16, 16)), ":"), F.lit(":"))
+    v6 = F.substring(full, 2, 39)
+    for n in range(2, 9):
+        run = rf"^(.*?)(?::0){{{n}}}:(.*)$"
+        v6 = F.when(full.rlike(run), F.concat(F.substring(F.regexp_extract(full, run, 1), 2, 39), F.lit("::"), F.regexp_extract(full, run, 2))).otherwise(v6)
+    v6 = F.regexp_replace(v6, "([^:]):$", "$1")
     return F.concat(F.when(afi == 1, v4).otherwise(v6), F.lit("/"), plen.cast("string"))
 
 

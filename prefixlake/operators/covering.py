@@ -10,8 +10,8 @@ def covering_join(inner: DataFrame, outer: DataFrame, how: str = "inner", strict
     """Each row of `inner` (afi, plen, bits, ...) with each row of `outer` that covers it; outer's columns get the prefix outer_.
 
     A condition on starts would be a nested loop over both sides; here each inner row is exploded into its ancestors of the
-    lengths that `outer` has, and met by equality. The lengths, 129 at most, are counted in the same plan and sent to all tasks
-    in one row, unless they are given. `strict` leaves out the prefix itself. how: inner, left, left_semi.
+    lengths that `outer` has, and met by equality. The lengths, 129 at most, are collected in the same plan and sent to all tasks
+    in a row for each family, unless they are given. `strict` leaves out the prefix itself. how: inner, left, left_semi.
     """
     named = outer.select(*(F.col(c).alias(f"outer_{c}") for c in outer.columns))
     if how == "left":
@@ -19,8 +19,8 @@ def covering_join(inner: DataFrame, outer: DataFrame, how: str = "inner", strict
         found = covering_join(row, outer, "inner", strict, lengths).select("__row", *named.columns)
         return row.join(found, "__row", "left").drop("__row")
     if lengths is None:
-        held = outer.agg(F.collect_set(F.col("plen").cast("int")).alias("__lengths"))
-        steps = inner.join(F.broadcast(held)).withColumn("__up", F.explode(ancestors(F.col("bits"), F.col("plen"), F.col("__lengths")))).drop("__lengths")
+        held = outer.groupBy(F.col("afi").alias("__afi")).agg(F.collect_set(F.col("plen").cast("int")).alias("__lengths"))
+        steps = inner.join(F.broadcast(held), F.col("afi") == F.col("__afi")).withColumn("__up", F.explode(ancestors(F.col("bits"), F.col("plen"), F.col("__lengths")))).drop("__afi", "__lengths")
     else:
         steps = inner.withColumn("__up", F.explode(ancestors(F.col("bits"), F.col("plen"), F.array(*(F.lit(int(n)) for n in lengths)).cast("array<int>"))))
     match = (F.col("__up") == F.col("outer_bits")) & (F.col("afi") == F.col("outer_afi"))

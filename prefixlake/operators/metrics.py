@@ -51,17 +51,13 @@ def event_counts(events: DataFrame, by: str, names: list[str]) -> DataFrame:
     return events.groupBy(by).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in names))
 
 
-def bmp_gauges(states: DataFrame) -> DataFrame:
-    """One row from the last state of each router (phase, peers): routers by phase, peers that are up, can mark the end of a RIB, or owe one."""
-    peers = F.coalesce(F.col("peers"), F.array())
-    n = lambda keep: F.coalesce(F.sum(F.size(F.filter(peers, keep))), F.lit(0)).cast("bigint")
-    return states.agg(
-        F.count_if(F.col("phase").isin("dumping", "updating")).alias("connected_routers"),
-        n(lambda p: F.lit(True)).alias("up_peers"),
-        n(lambda p: p["eor_capable"]).alias("eor_capable_peers"),
-        n(lambda p: F.size(p["pending"]) > 0).alias("peers_with_pending_eors"),
-        F.coalesce(F.sum(F.aggregate(peers, F.lit(0), lambda a, p: a + F.size(p["pending"]))), F.lit(0)).cast("bigint").alias("pending_eors"),
-    )
+def bmp_gauges(routers: DataFrame) -> DataFrame:
+    """One row from the last state of each router (bmp_sessions.counts): routers that are connected, peers that are up, routers and ends of RIB that are awaited, unknown peers."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return routers.agg(
+        F.count_if(F.col("phase").isin("dumping", "updating")).alias("connected_routers"), n(F.col("up_peers")).alias("up_peers"),
+        F.count_if(F.col("pending") > 0).alias("routers_with_pending_eors"), n(F.col("pending")).alias("pending_eors"), n(F.col("unknown_peers")).alias("unknown_peers"),
+    )
 
 
 def rtr_session(log: DataFrame, now: Column) -> DataFrame:

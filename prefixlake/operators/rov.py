@@ -7,18 +7,21 @@ from prefixlake.functions.prefix import is_multicast
 from prefixlake.operators.covering import covering_join
 
 
-def current_vrps(vrp_log: DataFrame, legacy_reset: bool = False) -> DataFrame:
+def current_vrps(vrp_log: DataFrame, legacy_reset: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """VRPs (afi, plen, bits, asn, maxlen) in force after a log of (seq, action, kind, ...): kind is reset for rows of a full list, else delta.
 
     The last action for each VRP counts. A full list (rows of one seq) replaces all before it, unless `legacy_reset`, by which
-    it only adds.
+    it only adds. `by` names columns of the source (a server, a file): each has its own lists and numbers, and what any of them
+    has is in force.
     """
-    key = ["afi", "plen", "bits", "asn", "maxlen"]
+    key = [*by, "afi", "plen", "bits", "asn", "maxlen"]
     rows = vrp_log
     if not legacy_reset:
-        last = vrp_log.agg(F.max(F.when(F.col("kind") == "reset", F.col("seq"))).alias("reset_seq"))
-        rows = vrp_log.join(F.broadcast(last), F.col("seq") >= F.coalesce("reset_seq", "seq")).drop("reset_seq")
-    return rows.groupBy(*key).agg(F.max_by("action", "seq").alias("action")).filter("action = 'announce'").drop("action")
+        last = vrp_log.groupBy(*by).agg(F.max(F.when(F.col("kind") == "reset", F.col("seq"))).alias("reset_seq"))
+        rows = vrp_log.join(last, list(by)) if by else vrp_log.join(F.broadcast(last))
+        rows = rows.filter(F.col("seq") >= F.coalesce("reset_seq", "seq")).drop("reset_seq")
+    held = rows.groupBy(*key).agg(F.max_by("action", "seq").alias("action")).filter("action = 'announce'").drop("action")
+    return held.drop(*by).distinct() if by else held
 
 
 def validate(routes: DataFrame, vrps: DataFrame) -> DataFrame:

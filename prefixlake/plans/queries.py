@@ -470,7 +470,7 @@ scalar("is_multicast", "starts_with(bits, '1110')", lambda r: is_multicast(r["af
 GROUP = "list_sum([CASE WHEN substring(rpad(bits, 128, '0'), {} + i, 1) = '1' THEN 1 << ({} - i) ELSE 0 END FOR i IN range(1, {} + 1)])"
 V4 = ", '.', ".join(f"CAST({GROUP.format(8 * k, 8, 8)} AS VARCHAR)" for k in range(4))
 V6 = ", ':', ".join(f"lower(to_hex(CAST({GROUP.format(16 * k, 16, 16)} AS BIGINT)))" for k in range(8))
-scalar("X11_fmt_prefix", f"concat(CASE WHEN afi = 1 THEN concat({V4}) ELSE concat({V6}) END, '/', CAST(plen AS VARCHAR))", lambda r: format_prefix(r["afi"], r["plen"], r["bits"]))
+scalar("X11_fmt_prefix", f"concat(CASE WHEN afi = 1 THEN concat({V4}) ELSE regexp_replace(concat({V6}), '(:0)+$', '::') END, '/', CAST(plen AS VARCHAR))", lambda r: format_prefix(r["afi"], r["plen"], r["bits"]))
 
 
 # Comparisons and overviews.
@@ -616,7 +616,7 @@ def _(spark, d):
     return events.forwarded(log_of(spark, d)).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("K12_prometheus")
+@query("K12_prometheus", f"SELECT '# TYPE prefixlake_bmp_messages_total counter' AS value UNION ALL SELECT concat('prefixlake_bmp_messages_total{{component=\"', CAST(router_id AS VARCHAR), '_', msg_type, '\"}} ', CAST(count(*) AS VARCHAR)) FROM ({MESSAGES}) GROUP BY router_id, msg_type")
 def _(spark, d):
     rows = metrics.type_counts(_messages(spark, d)).select(F.lit("bmp_messages").alias("name"), F.lit("counter").alias("kind"), F.lit("total").alias("unit"), F.concat_ws("_", F.col("router_id").cast("string"), "msg_type").alias("component"), F.col("n").alias("value"))
     return metrics.prometheus(rows)
@@ -641,6 +641,13 @@ def _(spark, d):
     return _bmp(spark, d).filter("seq >= 0").select("seq", "router_id", "result")
 
 
+@query("A23_bmp_gauges")
+def _(spark, d):
+    from prefixlake.streaming import bmp_sessions
+
+    return metrics.bmp_gauges(bmp_sessions.counts(_bmp(spark, d)))
+
+
 @query("A13_bmp_states")
 def _(spark, d):
     from prefixlake.streaming import bmp_sessions
@@ -648,7 +655,7 @@ def _(spark, d):
     return bmp_sessions.counts(_bmp(spark, d))
 
 
-@query("K01_json_lines")
+@query("K01_json_lines", "SELECT concat('{\"bits\":\"', bits, '\",\"ingress_id\":', CAST(ingress_id AS VARCHAR), ',\"origin_asn\":', coalesce(CAST(origin_asn AS VARCHAR), 'null'), ',\"otc\":', coalesce(CAST(otc AS VARCHAR), 'null'), '}') AS value FROM live")
 def _(spark, d):
     from prefixlake.sources import sinks
 
@@ -669,20 +676,20 @@ def _(spark, d):
     return sinks.lines(live_of(spark, d).select("bits", "ingress_id", "next_hop"), "csv")
 
 
-@query("K06_messages", "SELECT seq, 'prefixlake/asn' AS topic FROM updates WHERE origin_asn = 64512")
+@query("K06_messages", "SELECT seq, 'prefixlake/asn' AS topic, concat('[', CASE WHEN i.ingress_id IS NULL THEN 'null' ELSE concat('{', CASE WHEN remote_asn IS NULL THEN '' ELSE concat('\"remote_asn\":', CAST(remote_asn AS VARCHAR), ',') END, '\"ingress_type\":\"', ingress_type, '\"}') END, ',{\"asn\":64512,\"prefix\":\"', bits, '\"}]') AS body FROM updates u LEFT JOIN ingress i USING (ingress_id) WHERE origin_asn = 64512")
 def _(spark, d):
     from prefixlake.sources import sinks
 
     rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw"))
     made = events.emitted(rows, "asn", p.match_origin(F.col("origin_asn"), 64512), events.asn_record(F.col("origin_asn"), F.col("bits")))
-    return sinks.messages(made, view(spark, d, "ingress")).select("seq", "topic")
+    return sinks.messages(made, view(spark, d, "ingress").select("ingress_id", "remote_asn", "ingress_type"))
 
 
-@query("K14_cli", "SELECT ingress_id FROM ingress")
+@query("K14_cli", "SELECT concat_ws(chr(9), lpad(CAST(ingress_id AS VARCHAR), CAST(greatest(6, length(CAST(ingress_id AS VARCHAR))) AS INT), ' '), ingress_type, state, coalesce(remote_addr, '-'), lpad(coalesce(CAST(remote_asn AS VARCHAR), '-'), 10, ' '), coalesce(name, '-')) AS value FROM ingress")
 def _(spark, d):
     from prefixlake.sources import sinks
 
-    return sinks.cli_lines(view(spark, d, "ingress")).select(F.trim(F.split("value", "\t")[0]).cast("bigint").alias("ingress_id"))
+    return sinks.cli_lines(view(spark, d, "ingress"))
 
 
 # More of the filter language, over messages and updates.
@@ -781,7 +788,8 @@ def _(spark, d):
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("O05_user_metric_lines")
+@query("O05_user_metric_lines", """WITH t AS (SELECT concat('asn', CAST(origin_asn AS VARCHAR)) AS name, count(*) AS n, max_by(CAST(plen AS INT), seq) AS last FROM (SELECT * FROM updates WHERE origin_asn IS NOT NULL) GROUP BY 1)
+    SELECT unnest([concat('# TYPE user_defined_', name, ' counter'), concat('user_defined_', name, ' ', CAST(n AS VARCHAR)), concat('# TYPE ', name, ' gauge'), concat('user_defined_', name, ' ', CAST(last AS VARCHAR))]) AS value FROM t""".replace("WITH t AS", "SELECT * FROM (WITH t AS", 1) + ")")
 def _(spark, d):
     rows = log_of(spark, d).filter(F.col("op").isin("announce", "withdraw") & F.col("origin_asn").isNotNull())
     named = F.concat(F.lit("asn"), F.col("origin_asn").cast("string")).alias("name")

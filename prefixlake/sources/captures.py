@@ -2,6 +2,8 @@
 
 import bz2
 import gzip
+import struct
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,14 +31,14 @@ def unpacked(path: str, content: bytes) -> bytes:
 
 
 def _rows(source: DataFrame, schema: str, parse) -> DataFrame:
-    """Each file through `parse`, in batches of ROWS."""
+    """Each file through `parse`, in batches of ROWS. Where a file cannot be read on, a row with `corrupt` set ends it; others are read all the same."""
     names = [c.split(" ")[0] for c in _fields(schema)]
 
     def run(batches):
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 held = []
-                for number, row in enumerate(parse(unpacked(path, bytes(content)))):
+                for number, row in enumerate(_guarded(parse, path, content)):
                     held.append([path, number, *(row.get(n) for n in names[2:])])
                     if len(held) == ROWS:
                         yield pd.DataFrame(held, columns=names)
@@ -47,6 +49,13 @@ def _rows(source: DataFrame, schema: str, parse) -> DataFrame:
     return source.select("path", "content").mapInPandas(run, schema)
 
 
+def _guarded(parse, path: str, content) -> Iterator[dict]:
+    try:
+        yield from parse(unpacked(path, bytes(content)))
+    except (ValueError, IndexError, KeyError, EOFError, OSError, struct.error):
+        yield {"corrupt": True}
+
+
 def _fields(schema: str) -> list[str]:
     out, depth, last = [], 0, 0
     for k, c in enumerate(schema):
@@ -98,23 +107,27 @@ def bmp_messages(source: DataFrame, recorded: bool = False) -> DataFrame:
 
 
 def mrt_dump(source: DataFrame) -> DataFrame:
-    """Rows (path, number, time, peer_addr, peer_asn, safi, afi, plen, bits, attributes) of RIB dumps: IPv4 and IPv6 unicast, one for each entry.
+    """Rows (path, number, corrupt, taken, time, peer_addr, peer_asn, safi, afi, plen, bits, attributes) of RIB dumps: IPv4 and IPv6 unicast, one for each entry.
 
-    Peers are numbered in each file's index, at its start.
+    Peers are numbered in each file's index, at its start. `taken` is the time of the dump's record, `time` that of the route.
+    A record that cannot be read (a peer that the index lacks, bad attributes) is one corrupt row; the next ones are read.
     """
 
     def parse(data):
         peers = []
-        for _, kind, sub, body in wire.mrt_records(data):
+        for taken, kind, sub, body in wire.mrt_records(data):
             if kind == 13 and sub == 1:
                 peers = wire.peer_index(body)
             elif kind == 13 and sub in (2, 4):
-                for e in wire.rib_entries(sub, body):
-                    safi, afi, plen, bits = e["prefix"]
-                    addr, asn = peers[e["peer"]]
-                    yield e | {"peer_addr": addr, "peer_asn": asn, "safi": safi, "afi": afi, "plen": plen, "bits": bits}
+                try:
+                    for e in wire.rib_entries(sub, body):
+                        safi, afi, plen, bits = e["prefix"]
+                        addr, asn = peers[e["peer"]]
+                        yield e | {"corrupt": False, "taken": taken, "peer_addr": addr, "peer_asn": asn, "safi": safi, "afi": afi, "plen": plen, "bits": bits}
+                except (ValueError, IndexError, struct.error):
+                    yield {"corrupt": True, "taken": taken}
 
-    return _rows(source, f"path string, number bigint, time bigint, peer_addr string, peer_asn bigint, safi string, afi smallint, plen smallint, bits string, {ATTRIBUTES}", parse)
+    return _rows(source, f"path string, number bigint, corrupt boolean, taken bigint, time bigint, peer_addr string, peer_asn bigint, safi string, afi smallint, plen smallint, bits string, {ATTRIBUTES}", parse)
 
 
 def mrt_updates(source: DataFrame) -> DataFrame:
@@ -135,19 +148,34 @@ def mrt_updates(source: DataFrame) -> DataFrame:
     return _rows(source, f"path string, number bigint, time bigint, corrupt boolean, addr string, asn bigint, old_state int, new_state int, {UPDATE}", parse)
 
 
+def rtr_pdus(source: DataFrame) -> DataFrame:
+    """All PDUs of RTR captures: kind 4 and 6 prefixes, 9 router keys, 11 ASPAs, and the marks between them."""
+    schema = "path string, number bigint, corrupt boolean, version int, kind int, session_id int, serial bigint, action string, afi smallint, plen smallint, bits string, maxlen int, asn bigint, ski string, spki string, providers array<bigint>"
+    return _rows(source, schema, wire.rtr_pdus)
+
+
+def router_keys(source: DataFrame) -> DataFrame:
+    """(path, seq, action, ski, asn, spki): log of router keys, for rov.current_set."""
+    return rtr_pdus(source).filter("kind = 9").select("path", F.col("number").alias("seq"), "action", "ski", "asn", "spki")
+
+
+def aspas(source: DataFrame) -> DataFrame:
+    """(path, seq, action, customer_asn, providers): log of ASPAs; the last one of a customer counts."""
+    return rtr_pdus(source).filter("kind = 11").select("path", F.col("number").alias("seq"), "action", F.col("asn").alias("customer_asn"), "providers")
+
+
 def rtr_log(source: DataFrame) -> DataFrame:
     """VRP log (seq, kind, action, afi, plen, bits, maxlen, asn, session_id, serial) of RTR captures.
 
     Prefixes between a cache reset (PDU 2, or the start) and the end of data are one full list; after a serial query or
     notify they are a delta. seq counts PDUs; rows of a full list share that of its start.
     """
-    schema = "path string, number bigint, version int, kind int, session_id int, serial bigint, action string, afi smallint, plen smallint, bits string, maxlen int, asn bigint"
-    rows = _rows(source, schema, wire.rtr_pdus)
+    rows = rtr_pdus(source)
     order = Window.partitionBy("path").orderBy("number")
     mode = F.last(F.when(F.col("kind").isin(2, 8), "reset").when(F.col("kind").isin(0, 1), "delta"), ignorenulls=True).over(order)
     start = F.last(F.when(F.col("kind").isin(0, 1, 2, 8), F.col("number")), ignorenulls=True).over(order)
     marked = rows.withColumn("mode", F.coalesce(mode, F.lit("reset"))).withColumn("start", F.coalesce(start, F.lit(0)))
-    log = marked.filter("action IS NOT NULL")
+    log = marked.filter("action IS NOT NULL AND bits IS NOT NULL")
     return log.select("path", F.when(F.col("mode") == "reset", F.col("start")).otherwise(F.col("number")).alias("seq"), F.col("mode").alias("kind"), "action", "afi", "plen", "bits", "maxlen", "asn", "session_id")
 
 

@@ -1,5 +1,6 @@
 """Sinks: files of JSON, short JSON or CSV lines, messages by topic, and nothing at all. All work on batches and in foreachBatch."""
 
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Row
@@ -50,16 +51,26 @@ def messages(events: DataFrame, ingress: DataFrame, component: str = "mqtt", top
     return named.select("seq", F.replace(F.lit(topic_template), F.lit("{id}"), "topic").alias("topic"), "body")
 
 
-def publish(rows: DataFrame, connect: Callable[[], Callable[[str, str], None]], batch: int = 1000) -> None:
+def publish(rows: DataFrame, connect: Callable[[], Callable[[str, str], None]], tries: int = 5, wait: float = 5.0) -> None:
     """Send (topic, body) of all rows in order of seq within each partition: `connect` opens a connection in each task and gives its send function.
 
+    If that raises (a lost connection, its own timeout), the task connects anew after `wait` seconds and sends the row again, `tries` times in all, and then fails.
     At least once: a task that is run again sends its rows again.
     """
 
     def send(part: Iterable[Row]) -> None:
-        out = connect()
+        out = None
         for r in part:
-            out(r["topic"], r["body"])
+            for left in range(tries - 1, -1, -1):
+                try:
+                    out = out or connect()
+                    out(r["topic"], r["body"])
+                    break
+                except (OSError, TimeoutError):
+                    out = None
+                    if not left:
+                        raise
+                    time.sleep(wait)
 
     rows.sortWithinPartitions("seq").select("topic", "body").foreachPartition(send)
 
@@ -71,7 +82,7 @@ def discard(rows: DataFrame) -> None:
 def cli_lines(ingress: DataFrame) -> DataFrame:
     """Ingresses as lines with tabs, numbers to the right."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    return ingress.orderBy("ingress_id").select(F.concat_ws("\t", F.lpad(F.col("ingress_id").cast("string"), 6, " "), text("ingress_type"), text("state"), text("remote_addr"), F.lpad(text("remote_asn"), 10, " "), text("name")).alias("value"))
+    return ingress.orderBy("ingress_id").select(F.concat_ws("\t", F.format_string("%6s", F.col("ingress_id").cast("string")), text("ingress_type"), text("state"), text("remote_addr"), F.format_string("%10s", text("remote_asn")), text("name")).alias("value"))
 
 
 def streamed(answer: DataFrame):

@@ -32,6 +32,9 @@ def step(state: dict, m: dict) -> tuple[str, str | None, list[str], bool]:
     Peers are keyed by peer header with flags; an ingress is named by router and key, so a peer that comes back has the same.
     """
     kind, phase = m["msg_type"], state["phase"]
+    if kind == "disconnect":  # a row that a capture's reader adds where a connection was lost
+        op, ids = disconnected(state)
+        return "routing" if ids else "state", op if ids else None, ids, False
     if phase == "terminated":
         return "invalid", None, [], False
     if kind == "initiation":

@@ -135,8 +135,8 @@ def test_prefix_texts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_prefix(F.col("t")).alias("p")).select("t", "p.*", F.when(F.col("p").isNotNull(), format_prefix(F.col("p.afi"), F.col("p.plen"), F.col("p.bits"))).alias("back")).collect()
     got = {r.t: r.back for r in rows}
     assert got == {
-        "10.1.2.3/8": "10.0.0.0/8", "0.0.0.0/0": "0.0.0.0/0", "2001:db8::/32": "2001:db8:0:0:0:0:0:0/32", "::/0": "0:0:0:0:0:0:0:0/0", "::1": "0:0:0:0:0:0:0:1/128",
-        "1:2:3:4:5:6:7:8/128": "1:2:3:4:5:6:7:8/128", "::ffff:1.2.3.4/128": "0:0:0:0:0:ffff:102:304/128", "fe80::1:0/112": "fe80:0:0:0:0:0:1:0/112", "300": None, "10.0.0.0/33": None, "x/8": None, None: None,
+        "10.1.2.3/8": "10.0.0.0/8", "0.0.0.0/0": "0.0.0.0/0", "2001:db8::/32": "2001:db8::/32", "::/0": "::/0", "::1": "::1/128",
+        "1:2:3:4:5:6:7:8/128": "1:2:3:4:5:6:7:8/128", "::ffff:1.2.3.4/128": "::ffff:102:304/128", "fe80::1:0/112": "fe80::1:0/112", "300": None, "10.0.0.0/33": None, "x/8": None, None: None,
     }
 
 
@@ -146,7 +146,8 @@ def test_covering_against_nested_loop(spark):
     for strict in (False, True):
         got = sorted((r.bits, r.outer_bits) for r in covering.covering_join(rows, rows, strict=strict).collect())
         assert got == sorted((a, b) for a in plain for b in plain if a.startswith(b) and not (strict and a == b))
-    plan = covering.covering_join(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert covering.covering_join(rows, rows, lengths=list(range(9))).count() == len(got) + len(plain)
+    plan = covering.covering_join(rows, rows, lengths=list(range(9)))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     left = covering.covering_join(rows, rows.filter("bits = '1'"), "left")
     assert left.count() == len(plain) and left.filter("outer_bits IS NOT NULL").count() == sum(b.startswith("1") for b in plain)
@@ -274,6 +275,27 @@ def test_collector(spark, tmp_path):
     rows = collector.run(spark, collector.load(text)).collect()
     assert {(r.plen, r.route_status) for r in rows} == {(8, "withdrawn"), (16, "active")}
     assert spark.read.json(f"{tmp_path}/out").count() == 2
+    attributes = attr(1, b"\0") + attr(2, bytes([2, 1]) + struct.pack(">I", 65000))
+    index = bytes(4) + struct.pack(">H", 1) + b"v" + struct.pack(">H", 1) + bytes([2, 9, 9, 9, 9, 10, 0, 0, 1]) + struct.pack(">I", 64500)
+    entry = lambda k, a=attributes: struct.pack(">HIH", k, 7, len(a)) + a
+    v6 = attributes + attr(14, bytes([16]) + bytes([0x20, 1, 0xD, 0xB8]) + bytes(11) + b"\x01", 0x80)
+    dump = mrt(13, 1, index, 4) + mrt(13, 2, bytes(4) + bytes([8, 10]) + struct.pack(">H", 1) + entry(5), 4) + mrt(13, 2, bytes(4) + bytes([8, 10]) + struct.pack(">H", 1) + entry(0), 4)
+    (tmp_path / "d.mrt").write_bytes(dump + mrt(13, 4, bytes(4) + bytes([16, 0x20, 1]) + struct.pack(">H", 1) + entry(0, v6), 4))
+    got = captures.mrt_dump(captures.files(spark, f"{tmp_path}/d.mrt")).orderBy("number").collect()
+    assert [(r.corrupt, r.next_hop) for r in got] == [(True, None), (False, None), (False, "2001:db8::1")]
+    pdu = lambda kind, body, flags=0: struct.pack(">BBBBI", 2, kind, flags, 0, 8 + len(body)) + body
+    rtr = pdu(2, b"") + pdu(4, bytes([1, 8, 16, 0, 10, 0, 0, 0]) + struct.pack(">I", 64501)) + pdu(9, b"k" * 20 + struct.pack(">I", 7) + b"pk", 1) + pdu(11, struct.pack(">III", 7, 8, 9), 1)
+    (tmp_path / "s.rtr").write_bytes(rtr)
+    source = captures.files(spark, f"{tmp_path}/s.rtr")
+    assert [(r.asn, r.spki) for r in rov.current_set(captures.router_keys(source), ["ski", "asn", "spki"]).collect()] == [(7, b"pk".hex())]
+    assert [(r.customer_asn, r.providers) for r in captures.aspas(source).collect()] == [(7, [8, 9])]
+    (tmp_path / "r.bmp").write_bytes(INIT + peer_up() + bmp(0, peer() + bgp(update(NETS))) + peer_up(last=2) + bmp(0, peer(last=2) + bgp(update(NETS[1:]))) + bmp(2, peer(last=2) + b"\x01"))
+    kinds = {"a": ("mrt-updates", "u.mrt"), "b": ("mrt-dump", "d.mrt"), "c": ("bmp", "r.bmp"), "d": ("rtr", "s.rtr")}
+    text = "".join(f'[units.{n}]\nkind = "{k}"\npaths = "{tmp_path}/{f}"\n' for n, (k, f) in kinds.items())
+    rows = collector.run(spark, collector.load(text)).collect()
+    got = sorted((r.afi, r.plen, r.status, r.rov) for r in rows)
+    # The dump's and the updates' 10.0.0.0/8 of one peer are one route; the second BMP peer went down.
+    assert got == [(1, 8, "active", "valid"), (1, 8, "withdrawn", "valid"), (1, 16, "active", "valid"), (1, 16, "active", "valid"), (1, 16, "withdrawn", "valid"), (2, 16, "active", "notFound")]
     for bad in ("[unknown]\n", '[units.a]\nkind = "x"\npaths = "y"\nport = 1\n', '[units.a]\nkind = "x"\n'):
         with pytest.raises(ValueError):
             collector.load(bad)
