@@ -16,8 +16,8 @@ SEED_WORDS = 8
 WORD_BYTES = 3
 #: Words of a suffix by which ranges are drawn; at least a seed's.
 RANGE_WORDS = 12
-#: Suffixes that are compared at once. FEW has no effect any more; tests still set it.
-CHUNK, FEW = 16_384, 1_000
+#: Suffixes that are compared at once.
+CHUNK = 16_384
 _SUFFIX = "doc_id long, key long, place int, after binary, before binary"
 _NAMES = ["doc_id", "key", "place", "after", "before"]
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -56,12 +56,12 @@ def minimisers(hashes: np.ndarray, bounds: np.ndarray, seed_words: int, min_word
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
 
 
 def _seeds(rows: DataFrame, min_words: int) -> DataFrame:
-    """(seed, key, place): retained seeds of every text, place counted in words."""
+    """(seed, doc_id, key, place): retained seeds of every text, place counted in words."""
 
     def select(batches):
         for part, texts in slices(batches):
@@ -70,9 +70,10 @@ def _seeds(rows: DataFrame, min_words: int) -> DataFrame:
             bounds = t.bounds(starts)
             at, seeds = minimisers(words, bounds, SEED_WORDS, min_words)
             doc = np.searchsorted(bounds[1:], at, "right")
-            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), part.column("key").take(pa.array(doc)), pa.array((at - bounds[doc]).astype(np.int32))], ["seed", "key", "place"])
+            own = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), part.column("doc_id").take(own), part.column("key").take(own), pa.array((at - bounds[doc]).astype(np.int32))], ["seed", "doc_id", "key", "place"])
 
-    return rows.select("key", "text").mapInArrow(select, "seed long, key long, place int")
+    return rows.mapInArrow(select, "seed long, doc_id long, key long, place int")
 
 
 def _suffixes(rows: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
@@ -103,7 +104,7 @@ def _suffixes(rows: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
                 take = pa.array(own)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), pa.array(at.astype(np.int32)), *sides], _NAMES)
 
-    return rows.join(places.hint("merge"), "key").select("doc_id", "key", "text", "places").mapInArrow(cut, _SUFFIX)
+    return rows.join(places.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "places").mapInArrow(cut, _SUFFIX)
 
 
 def _words(column, n_words: int) -> np.ndarray:
@@ -231,8 +232,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """(id, key, spans) for each text of `docs` in which passages of `min_words` words or more repeat that an earlier place has.
 
     Words are as in near_dedup. Of places with one passage, that of the least id (null least), and there the first, keeps it;
-    the others are in spans, an array of (start, end) in words, in order and apart. key is a hash of id and text: rows that
-    repeat both are one text. Texts with fewer than `min_words` words, empty or null have no passages.
+    the others are in spans, an array of (start, end) in words, in order and apart. key is a hash of the text; with the id it
+    names a text: rows that repeat both are one text. Texts with fewer than `min_words` words, empty or null have no passages.
     Seeds that occur once are dropped; the other suffixes are sorted by range over their words and places, so that a passage
     that a third of all documents share is spread over tasks like any other. Its rows meet in chunks; what a chunk leaves open
     meets window by window.
@@ -241,7 +242,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     seeds = written(_seeds(rows, min_words))
     counts = written(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     shared = join_counted(seeds, counts, "seed", "n")
-    places = shared.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    places = shared.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     later = _repeats(_suffixes(rows, places, min_words), min_words)
     ranges = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("ranges"))
     joined_up = F.aggregate(
@@ -260,9 +261,10 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
 
     From the first to the last word of a span all goes; what stands around it stays. A document is never dropped.
     """
-    spans = repeated_passages(docs, min_words, id_col, text_col).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(spans.hint("merge"), "__key", "left").drop("__key")
+    least = F.lit(-(2**63))
+    spans = repeated_passages(docs, min_words, id_col, text_col).select(F.coalesce(F.col(id_col), least).alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), least)).withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keyed.join(spans.hint("merge"), ["__id", "__key"], "left").drop("__id", "__key")
     names = joined.columns
 
     def cut(batches):

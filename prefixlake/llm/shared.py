@@ -1,6 +1,7 @@
 """Tables in the cluster's shared folder, and joins that survive hot keys."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ HEAVY_SHARE = 1000
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the cluster names none, as in tests on one machine, the warehouse is used.
+    Where the cluster names none, as in tests on one machine, the warehouse is used, which must be shared too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/prefixlake-{spark.sparkContext.applicationId}"
@@ -31,18 +32,29 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """All that operators leave behind in the shared folder and the session's tables of blocks goes at the end of the block: read or write results within it."""
+    try:
+        yield
+    finally:
+        drop_scratch(spark)
+        for t in spark.catalog.listTables(pattern="word_blocks_*"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+
 def join_counted(left: DataFrame, counted: DataFrame, key: str, rows: str) -> DataFrame:
     """Inner join of `left` with `counted`, which has each key of `left` once and in `rows` the number of its rows there.
 
     Keys with over 1/HEAVY_SHARE of all rows (so at most HEAVY_SHARE of them) are broadcast and their rows stay where
     they are; the others meet in a shuffled join in which no key is large. Both inputs are read twice: pass tables.
     """
-    total = counted.agg(F.sum(rows)).first()[0] or 0
-    cut = max(total // HEAVY_SHARE, 1000)
+    total, most = counted.agg(F.sum(rows), F.max(rows)).first()
+    cut = max((total or 0) // HEAVY_SHARE, 1000)
+    if (most or 0) <= cut:
+        return left.join(counted, key)
     heavy = counted.filter(F.col(rows) > cut)
     light = counted.filter(F.col(rows) <= cut)
-    if not heavy.limit(1).count():
-        return left.join(light, key)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return left.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
 

@@ -57,11 +57,26 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """truncated_total and docs_over for any context limits, also ones that no document has as its length."""
+    """(context_limit, truncated_total, docs_over) for any context limits, also ones that no document has as its length; each once.
+
+    A limit L has the suffix sums of the least length over L that occurs: all tokens less theirs, and L for each of their
+    documents. Limits are asked of a table of sums, which is joined by range of lengths; without documents the answers are 0.
+    """
     spark = histogram.sparkSession
-    asked = spark.createDataFrame([(x,) for x in limits], "context_limit long")
-    pairs = histogram.join(F.broadcast(asked))
-    return pairs.groupBy("context_limit").agg(
-        F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("truncated_total"),
-        F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
-    )
+    asked = spark.createDataFrame([(int(x),) for x in sorted(set(limits))], "context_limit long")
+    h = written(context_limits(histogram).select("n_tokens", "n_docs", "docs_from", "tokens_from", "truncated_total", "lost_tokens"))
+    whole = h.agg((F.max(F.col("truncated_total") + F.col("lost_tokens"))).alias("all_tokens"))
+    # The limit itself takes part as a length without documents; the next length above it has the sums.
+    rows = h.select("n_tokens", "docs_from", "tokens_from", F.lit(0).alias("asked")).unionByName(asked.select(F.col("context_limit").alias("n_tokens"), F.lit(None).cast("long").alias("docs_from"), F.lit(None).cast("long").alias("tokens_from"), F.lit(1).alias("asked")))
+    rows = rows.withColumn("range", F.floor(F.col("n_tokens") / RANGE))
+    sums = F.when(F.col("asked") == 0, F.struct("docs_from", "tokens_from"))
+    above = Window.partitionBy("range").orderBy("n_tokens", "asked").rowsBetween(1, Window.unboundedFollowing)
+    own = rows.withColumn("next", F.first(sums, ignorenulls=True).over(above)).filter("asked = 1")
+    firsts = h.withColumn("range", F.floor(F.col("n_tokens") / RANGE)).groupBy("range").agg(F.min_by(F.struct("docs_from", "tokens_from"), "n_tokens").alias("first"))
+    reach = asked.select(F.floor(F.col("context_limit") / RANGE).alias("range")).distinct().select("range", F.lit(None).alias("first"))
+    later = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.unionByName(reach, allowMissingColumns=True).groupBy("range").agg(F.first("first", ignorenulls=True).alias("first"))
+    firsts = firsts.select("range", F.first("first", ignorenulls=True).over(later).alias("after"))
+    found = own.join(F.broadcast(firsts), "range").withColumn("sums", F.coalesce("next", "after")).join(F.broadcast(whole))
+    docs, tokens = F.coalesce(F.col("sums.docs_from"), F.lit(0)), F.coalesce(F.col("sums.tokens_from"), F.lit(0))
+    return found.select(F.col("n_tokens").alias("context_limit"), (F.coalesce("all_tokens", F.lit(0)) - tokens + docs * F.col("n_tokens")).alias("truncated_total"), docs.alias("docs_over"))

@@ -64,7 +64,11 @@ def test_histogram(spark, odd, library):
         assert r.truncated_total == sum(min(x, r.n_tokens) for x in lengths)
         assert r.lost_tokens == sum(lengths) - r.truncated_total
         assert r.quantile == pytest.approx(sum(x <= r.n_tokens for x in lengths) / len(lengths))
-    for r in token_counts.at_limits(h, [2, 100]).collect():
+    asked = [0, 1, 2, 2, 100, 4095, 4096, 9000, 50_000]
+    found = token_counts.at_limits(h, asked).collect()
+    assert sorted(r.context_limit for r in found) == sorted(set(asked))
+    assert [(r.truncated_total, r.docs_over) for r in token_counts.at_limits(h.limit(0), [7]).collect()] == [(0, 0)]
+    for r in found:
         assert r.truncated_total == sum(min(x, r.context_limit) for x in lengths)
         assert r.docs_over == sum(x > r.context_limit for x in lengths)
     assert token_counts.context_limits(token_counts.length_histogram(odd.limit(0))).count() == 0
