@@ -15,8 +15,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of all conversations; each half, by a hash of the id, is parsed by a model of the other half."""
     turns = table(spark, sf_dir, "conversations")
-    return transcripts.parse(transcripts.transcripts_of(turns), transcripts.fit(turns))
+    halves = [turns.filter(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == k) for k in (0, 1)]
+    one, two = (transcripts.parse(transcripts.transcripts_of(held), transcripts.fit(other), conversation="conv_id") for held, other in (halves, halves[::-1]))
+    return one.unionByName(two)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
