@@ -18,8 +18,8 @@ WORD_BYTES = 3
 RANGE_WORDS = 12
 #: Suffixes that are compared at once.
 CHUNK = 16_384
-_SUFFIX = "doc_id long, key long, place int, after binary, before binary"
-_NAMES = ["doc_id", "key", "place", "after", "before"]
+_SUFFIX = "doc_id long, key long, place int, after binary, before binary, least int, most int"
+_NAMES = ["doc_id", "key", "place", "after", "before", "least", "most"]
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,7 +77,11 @@ def _seeds(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def _suffixes(rows: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
-    """For each retained place: after (hashes of min_words words from there on) and before (of those before it, the nearest first), 0 where the text ends."""
+    """For each retained place: after (hashes of min_words words from there on) and before (of those before it, the nearest first), 0 where the text ends.
+
+    Of the windows of min_words words around a seed, those whose first least seed it is are its own: they have `least` to `most`
+    words from the seed on. So each window of a text is the work of one seed, and of the same one wherever it stands.
+    """
 
     def cut(batches):
         back = min_words - SEED_WORDS
@@ -89,6 +93,11 @@ def _suffixes(rows: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
             count = np.diff(np.asarray(held.offsets))
             doc = np.repeat(np.arange(len(texts)), count)
             place = np.asarray(held.flatten())
+            seeds = np.append(windows(words, SEED_WORDS), np.full(min(len(words), SEED_WORDS - 1), _TOP))
+            if len(texts) > 1:
+                owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+                ahead = np.minimum(np.arange(len(words)) + SEED_WORDS - 1, len(words) - 1)
+                seeds[owner[ahead] != owner] = _TOP
             short = words.astype(np.uint32) & np.uint32((1 << 8 * WORD_BYTES) - 1)
             short[short == 0] = 1
             for low in range(0, len(place), 1 << 14):
@@ -101,8 +110,15 @@ def _suffixes(rows: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
                     found = np.where(inside, short[np.clip(where, 0, len(short) - 1)], 0).astype(">u4")
                     packed = np.ascontiguousarray(found.view(np.uint8).reshape(len(at), len(steps), 4)[:, :, 4 - WORD_BYTES :])
                     sides.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1, dtype=np.int32) * len(steps) * WORD_BYTES).tobytes()), pa.py_buffer(packed.tobytes())]))
+                mine, near = seeds[here][:, None], []
+                for steps, better in ((-1 - np.arange(back), np.less_equal), (1 + np.arange(back), np.less)):
+                    where = here[:, None] + steps
+                    inside = (where >= bounds[own][:, None]) & (where < bounds[own + 1][:, None])
+                    beaten = better(np.where(inside, seeds[np.clip(where, 0, len(seeds) - 1)], _TOP), mine) & inside
+                    near.append(np.where(beaten.any(axis=1), beaten.argmax(axis=1), back))
+                least, most = min_words - near[0], SEED_WORDS + near[1]
                 take = pa.array(own)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), pa.array(at.astype(np.int32)), *sides], _NAMES)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), pa.array(at.astype(np.int32)), *sides, pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32))], _NAMES)
 
     return rows.join(places.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "places").mapInArrow(cut, _SUFFIX)
 
@@ -125,12 +141,12 @@ def _prefixes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def matched_words(after: np.ndarray, before: np.ndarray, min_words: int, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
+def matched_words(after: np.ndarray, before: np.ndarray, least: np.ndarray, most: np.ndarray, min_words: int, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
     """For rows in order of their places: how far each one's repeated words go to the left and right of its seed (0, 0: none); and the open windows.
 
     A row is put beside its neighbours for each share of min_words words between left and right: sorted by those words,
     equal rows stand together, and all but the first of them repeat it. So a row's words are the union of all windows
-    of min_words words around its seed that an earlier row of these has too. Of `cut` rows the windows that no earlier row
+    of min_words words around its seed, `least` to `most` of them from the seed on, that an earlier row of these has too. Of `cut` rows the windows that no earlier row
     of these has are open: (rows, hashes of the windows, words to the right).
     """
     n = len(after)
@@ -138,7 +154,7 @@ def matched_words(after: np.ndarray, before: np.ndarray, min_words: int, cut: np
     ahead, behind = _prefixes(after), _prefixes(before)
     for j in range(SEED_WORDS, min_words + 1):
         k = min_words - j
-        held = after[:, j - 1] != 0
+        held = (after[:, j - 1] != 0) & (least <= j) & (j <= most)
         if k:
             held &= before[:, k - 1] != 0
         rows = np.flatnonzero(held)
@@ -170,10 +186,10 @@ def _compared(suffixes: DataFrame, min_words: int) -> DataFrame:
 
     def settle(table: pa.Table, cut: np.ndarray):
         after, before = _words(table.column("after"), min_words), _words(table.column("before"), back)
-        doc, key, place = (table.column(c).to_numpy() for c in ("doc_id", "key", "place"))
+        doc, key, place, least, most = (table.column(c).to_numpy() for c in ("doc_id", "key", "place", "least", "most"))
         order = np.lexsort((place, key, doc))
         doc, key, place = doc[order], key[order], place[order]
-        left, right, still = matched_words(after[order], before[order], min_words, cut[order])
+        left, right, still = matched_words(after[order], before[order], least[order], most[order], min_words, cut[order])
 
         def batch(rows, low, high, window):
             columns = [pa.array(doc[rows]), pa.array(key[rows]), pa.array(place[rows]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), window]
