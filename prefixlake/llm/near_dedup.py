@@ -22,8 +22,8 @@ COMMON = 1000
 MOST_COMMON = 1 << 21
 #: Shingles that a task counts at once, and hash ranges by shuffle partition in which counts meet.
 COUNTED, RANGES = 1 << 22, 8
-#: Of a bucket: members that meet the leaders in one block, leaders held at once, and leaders of the first round (each later one has four times as many).
-BLOCK, HELD, LEADERS = 500, 64, 16
+#: Of a bucket: members that meet the leaders in one block, leaders held at once, and leaders of the first round, and how many times as many each later one has.
+BLOCK, HELD, LEADERS, MORE = 500, 64, 16, 8
 MAX_ROUNDS = 100
 
 
@@ -235,19 +235,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links lead to, for every node of `links` (a, b).
 
     Rounds of taking the least label among neighbours and then the label's own label, each written to the shared folder;
-    labels move at least twice as far each round, so star-like groups take two or three. A node with many links, and a
-    label with many nodes, are met by broadcast.
+    labels move at least twice as far each round, so star-like groups take one or two. The rounds end when no neighbour has
+    a lesser label: then each component has one, its least node. A node with many links, and a label with many nodes, are
+    met by broadcast.
     """
-    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = written(links.select(ways.alias("way")).select("way.a", "way.b").distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count(F.lit(1)).alias("n")))
     for _ in range(MAX_ROUNDS):
         near = join_counted(edges, labels.withColumnRenamed("node", "b"), "b", "n").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = written(labels.join(near.hint("merge"), "node").select("node", "label", "n", F.least("label", "near").alias("low")))
-        jump = step.groupBy("low").agg(F.count(F.lit(1)).alias("rows")).join(step.select(F.col("node").alias("low"), F.col("low").alias("far")).hint("merge"), "low")
-        moved = written(join_counted(step, written(jump), "low", "rows").select("node", F.col("far").alias("now"), "label", "n"))
-        labels = moved.select("node", F.col("now").alias("label"), "n")
-        if not moved.filter("now <> label").limit(1).count():
+        if step.filter("low <> label").isEmpty():
             return labels.select("node", "label")
+        jump = step.groupBy("low").agg(F.count(F.lit(1)).alias("rows")).join(step.select(F.col("node").alias("low"), F.col("low").alias("far")).hint("merge"), "low")
+        labels = written(join_counted(step, written(jump), "low", "rows").select("node", F.col("far").alias("label"), "n"))
     raise RuntimeError("components did not settle")
 
 
@@ -266,8 +267,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     wordless = signed.filter(F.length("digest") == 0)
     worded = signed.filter(F.length("digest") > 0)
     texts = written(worded.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).select("digest", "copies", "bands", F.col("least.row").alias("rep"), F.col("least.doc_id").alias("rep_id")))
-    links = written(_links(rows, worded, texts, weights, threshold))
-    classes = components(links) if links.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    classes = components(_links(rows, worded, texts, weights, threshold))
     named = texts.select("digest", "copies", "rep", "rep_id").join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("digest", "copies", "rep", "rep_id", F.coalesce("label", "rep").alias("label"))
     named = written(named)
     heads = named.groupBy("label").agg(F.min(F.struct("rep_id", "rep")).alias("head"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members"))
@@ -292,12 +292,12 @@ def _links(rows: DataFrame, signed: DataFrame, texts: DataFrame, weights: Weight
     fame = members.groupBy("rep").agg(F.sum("n").alias("fame"))
     left = members.filter("rep <> leader").select("key", "rep").join(fame.hint("merge"), "rep")
     left, width = written(_unsettled(left.withColumn("label", F.col("rep")), new)), LEADERS
-    while left.limit(1).count():
+    while not left.isEmpty():
         leaders = written(_leaders(left, links, width))
-        new = written(_compared(_units(left, leaders, width), needed, weights, threshold).distinct())
+        new = written(_compared(_units(left, leaders), needed, weights, threshold).distinct())
         links = links.union(new)
         left = written(_unsettled(left, new, leaders))
-        width *= 4
+        width *= MORE
     return links
 
 
@@ -307,54 +307,51 @@ def _led_units(led: DataFrame) -> DataFrame:
     unit = F.xxhash64("a", "salt").alias("unit")
     salts = F.ceil(F.col("n") / BLOCK)
     rows = join_counted(led, sizes, "a", "n").withColumn("salt", F.pmod(F.xxhash64("b"), salts))
-    rows = written(rows.select(unit, F.lit(False).alias("lead"), F.col("b").alias("rep"), F.col("b").alias("label")))
+    rows = rows.select(unit, F.lit(False).alias("lead"), F.col("b").alias("rep"), F.col("b").alias("label"))
     heads = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select(unit, F.lit(True).alias("lead"), F.col("a").alias("rep"), F.col("a").alias("label"))
-    return rows.union(heads.join(rows.select("unit").distinct(), "unit", "left_semi"))
+    return rows.union(heads)
 
 
 def _unsettled(left: DataFrame, new: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """`left` (key, rep, fame, label) with labels joined by the `new` links, without the rows that have met all others of their bucket (`done`), and without
-    the buckets whose rows have one label: none of their pairs can join more."""
-    if new.limit(1).count():
+    the buckets whose rows have one label: none of their pairs can join more. `salts` is the number of blocks of a bucket."""
+    if not new.isEmpty():
         names = left.select("rep", "label").distinct()
         at = lambda c: names.select(F.col("rep").alias(c), F.col("label").alias(f"of_{c}")).hint("merge")
         # A bucket's first leader may be left in no bucket; then its label is its own number still.
         tag = lambda c: F.coalesce(f"of_{c}", c)
-        joined = written(new.join(at("a"), "a", "left").join(at("b"), "b", "left").select(tag("a").alias("a"), tag("b").alias("b")).filter("a <> b").distinct())
-        if joined.limit(1).count():
-            left = left.join(components(joined).select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("key", "rep", "fame", F.coalesce("now", "label").alias("label"))
+        joined = new.join(at("a"), "a", "left").join(at("b"), "b", "left").select(tag("a").alias("a"), tag("b").alias("b")).filter("a <> b")
+        left = left.join(components(joined).select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("key", "rep", "fame", F.coalesce("now", "label").alias("label"))
     if done is not None:
         left = left.join(done.select("key", "rep").hint("merge"), ["key", "rep"], "left_anti")
-    left = written(left)
+    left = written(left.select("key", "rep", "fame", "label"))
     mixed_up = written(left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high"))
-    return join_counted(left, mixed_up, "key", "n").select("key", "rep", "fame", "label")
+    return join_counted(left, mixed_up, "key", "n").select("key", "rep", "fame", "label", F.ceil(F.col("n") / BLOCK).alias("salts"))
 
 
 def _leaders(left: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """(key, rep, label, block): `width` rows of each bucket, half those in the largest buckets and with most links (as an original among its copies), half those of the bucket's smallest classes."""
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+    """(key, rep, label, salts, block): `width` rows of each bucket, half those in the largest buckets and with most links (as an original among its copies), half those of the bucket's smallest classes.
+
+    The first of each salt are found first, so that no task ranks a whole bucket.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
     sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    known = left.join(degree.hint("merge"), "rep", "left").join(sizes, ["key", "label"])
-    known = written(known.join(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts")), "key").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts")))
+    top = left.join(degree.hint("merge"), "rep", "left").join(sizes, ["key", "label"]).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
     last = (F.desc("fame"), F.desc_nulls_last("degree"), F.xxhash64("rep"), "rep")
-    found = []
-    for order in (last, ("size", *last)):
-        top = known
-        for by in (("key", "salt"), ("key",)):
-            top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= width // 2)
-        found.append(top.select("key", "rep", "label"))
-    return found[0].union(found[1]).distinct().withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(-(-width // HELD))))
+    for by in (("key", "salt"), ("key",)):
+        near = Window.partitionBy(*by)
+        ranks = {"known": F.row_number().over(near.orderBy(*last)), "rare": F.row_number().over(near.orderBy("size", *last))}
+        top = top.withColumns(ranks).filter((F.col("known") <= width // 2) | (F.col("rare") <= width // 2))
+    return top.select("key", "rep", "label", "salts", F.pmod(F.xxhash64("rep"), F.lit(-(-width // HELD))).alias("block"))
 
 
-def _units(left: DataFrame, leaders: DataFrame, width: int) -> DataFrame:
+def _units(left: DataFrame, leaders: DataFrame) -> DataFrame:
     """(unit, lead, rep, label): the leaders of a block with each salt of their bucket, and the rows of that salt that have another label than some of them."""
-    salts = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
     blocks = leaders.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     unit = F.xxhash64("key", "block", "salt").alias("unit")
-    heads = leaders.join(salts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(unit, F.lit(True).alias("lead"), "rep", "label")
-    rows = left.join(salts, "key").join(blocks, "key").filter("label <> low OR label <> high").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
-    rows = written(rows.select(unit, F.lit(False).alias("lead"), "rep", "label"))
-    return rows.union(heads.join(rows.select("unit").distinct(), "unit", "left_semi"))
+    heads = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(unit, F.lit(True).alias("lead"), "rep", "label")
+    rows = left.join(blocks, "key").filter("label <> low OR label <> high").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
+    return rows.select(unit, F.lit(False).alias("lead"), "rep", "label").union(heads)
 
 
 def _compared(units: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
